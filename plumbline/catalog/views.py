@@ -79,9 +79,9 @@ SV = f"sv AS (SELECT {_CELLS.format(**_DUCK)} FROM events)"
 # The same survey in three batches, by thirds of the event id.
 SVB = (f"svb AS (SELECT {_CELLS.format(**_DUCK)}, "
        f"{_THIRD.format(text='VARCHAR', events='events')} FROM events)")
-# One period per day; unemployment rises over the month.
+# One period per day; unemployment rises over the month, with one odd day.
 _DAILY = """
-  CASE WHEN (event_id * 13) % 40 < {day} THEN 'unemployed' ELSE 'employed' END
+  CASE WHEN {day} = 20 OR (event_id * 13) % 70 < {day} THEN 'unemployed' ELSE 'employed' END
     AS employment_status,
   {label} AS survey_round"""
 SVD = ("svd AS (SELECT concat('R', CAST(event_id AS VARCHAR)) AS record_id, "
