@@ -54,6 +54,7 @@ def current_cases(log: DataFrame, assessments: DataFrame | None = None) -> DataF
     district_id) gives the default priority and the group ids.
     """
     place = F.struct("ts", "action_id")
+    log = first_creations(log)
     entries = log.withColumn("new_status", new_status(log))
     changes = F.col("new_status").isNotNull()
     resolved = F.col("new_status").isin(*CASE_RESOLVED)

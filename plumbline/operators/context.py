@@ -249,9 +249,10 @@ def record_highlights(zscores: DataFrame, limit: int = TOP_RECORDS) -> DataFrame
 def _packed(df: DataFrame, name: str, order: list[Column], item: Column) -> DataFrame:
     """A short ranked table as one row holding an array."""
     w = Window.orderBy(*order)  # at most a few dozen rows
-    return df.select(F.row_number().over(w).alias("_i"), item.alias("_item")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_item"))),
-                    lambda s: s["_item"]).alias(name))
+    rows = df.select(F.row_number().over(w).alias("_i"), item.alias("_item"))
+    # Items may hold maps, which have no order of their own.
+    placed = F.array_sort(F.collect_list(F.struct("_i", "_item")), lambda a, b: a["_i"] - b["_i"])
+    return rows.agg(F.transform(placed, lambda s: s["_item"]).alias(name))
 
 
 def batch_summary(
