@@ -72,9 +72,9 @@ def lookup_join(
         return facts.join(F.broadcast(hot), keys).unionByName(
             facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
         )
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    )
+    # Maps have no hash; the other cells tell rows apart.
+    cells = [f.name for f in facts.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*cells), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 

@@ -118,11 +118,13 @@ def test_detections_reach_records_by_three_ways(spark, monkeypatch, wide):
     fused = fuse(records, rules, statistics, detections=detections(spark))
     rows = {r["record_id"]: r for r in fused.collect()}
     assert rows["R2"]["evidence_refs"]["detectors"] == ["REL_A", "ENUM", "GEO"]
-    assert rows["R3"]["evidence_refs"]["detectors"] == ["GEO"]
+    # A record's own detection also reaches the rest of its cluster.
+    assert rows["R3"]["evidence_refs"]["detectors"] == ["REL_A", "GEO"]
     assert rows["R4"]["evidence_refs"]["detectors"] == ["REL_A", "REL_B", "ENUM", "GEO"]
     assert rows["R2"]["intelligence_classification"] == "INVESTIGATION_REQUIRED"
     assert rows["R1"]["detector_count"] == 4
-    assert (rows["R3"]["primary_detector"], rows["R3"]["review_required"]) == ("GEO", False)
+    assert (rows["R3"]["primary_detector"], rows["R3"]["review_required"]) == (
+        "REL_A", False)
 
 
 def test_repeated_and_missing_ids(spark):
