@@ -45,6 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str,
+           build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per session and data set, then read back.
+
+    Reports read stored assessments; they do not assess the batch again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 # --- the survey ---------------------------------------------------------------
 
 _CELLS = """
@@ -89,15 +106,24 @@ SVD = ("svd AS (SELECT concat('R', CAST(event_id AS VARCHAR)) AS record_id, "
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT {_CELLS.format(**_SPARK)} FROM {{events}}",
-                     events=table(spark, sf_dir, "events"))
+    """The survey as a stored batch: derived and written once, then scanned."""
+    def build() -> DataFrame:
+        rows = spark.sql(f"SELECT {_CELLS.format(**_SPARK)} FROM {{events}}",
+                         events=table(spark, sf_dir, "events"))
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+
+    return stored(spark, sf_dir, "survey", build)
 
 
 def survey_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey with ``batch_id`` B1, B2 or B3."""
-    third = _THIRD.format(text="STRING", events="{events}")
-    return spark.sql(f"SELECT {_CELLS.format(**_SPARK)}, {third} FROM {{events}}",
-                     events=table(spark, sf_dir, "events"))
+    def build() -> DataFrame:
+        third = _THIRD.format(text="STRING", events="{events}")
+        rows = spark.sql(f"SELECT {_CELLS.format(**_SPARK)}, {third} FROM {{events}}",
+                         events=table(spark, sf_dir, "events"))
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+
+    return stored(spark, sf_dir, "survey_batches", build)
 
 
 def survey_batch(spark: SparkSession, sf_dir: str, batch_id: str) -> DataFrame:
@@ -112,22 +138,5 @@ def survey_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         events=table(spark, sf_dir, "events"))
 
 
-_STORED: dict[tuple, str] = {}
-
-
-def stored(spark: SparkSession, sf_dir: str, name: str,
-           build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per session and data set, then read back.
-
-    Reports read stored assessments; they do not assess the batch again.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        path = scratch_path(spark, name)
-        build().write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
-
-
 def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts)

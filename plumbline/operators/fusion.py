@@ -21,6 +21,7 @@ from plumbline.operators.roles import detect_roles, role_text
 from plumbline.plans.lookup import lookup_join, materialize
 
 IDS = ("enumerator_id", "cluster_id", "district_id")
+GROUP_ROLES = ("enumerator_id", "cluster_id")
 TYPES = "array<struct<seq:struct<family:int,step:int,position:string,number:int>,type:string>>"
 
 
@@ -52,16 +53,19 @@ def record_types(detections: DataFrame) -> DataFrame:
     )
 
 
-def group_types(detections: DataFrame, role: str) -> DataFrame:
-    """(role, types): detector types met by a group, in order of appearance."""
+def group_types(detections: DataFrame) -> DataFrame:
+    """(role, id, types): detector types met by an enumerator or a cluster, in
+    order of appearance. At most one entry per detector type."""
+    reached = F.explode(F.array(*[
+        F.struct(F.lit(r).alias("role"), F.col(r).alias("id")) for r in GROUP_ROLES]))
     firsts = (
-        detections.where(F.col(role).isNotNull())
-        .groupBy(role, "detector_type").agg(F.min("seq").alias("seq"))
+        detections.select(reached.alias("_g"), "detector_type", "seq")
+        .where(F.col("_g.id").isNotNull())
+        .groupBy("_g.role", "_g.id", "detector_type").agg(F.min("seq").alias("seq"))
     )
-    # At most one entry per detector type.
-    return firsts.groupBy(role).agg(
+    return firsts.groupBy("role", "id").agg(
         F.array_sort(F.collect_list(F.struct("seq", F.col("detector_type").alias("type"))))
-        .alias(f"_{role}_types"))
+        .alias("types"))
 
 
 def fuse(
@@ -76,7 +80,8 @@ def fuse(
     """Assessments of all records in ``records`` (see ``record_ids``) or evidence.
 
     A source given as None was not available: it is left out and the weights of
-    the others grow accordingly.
+    the others grow accordingly. ``detections`` are read more than once: pass a
+    stored or materialised table.
     """
     s = settings
     none = F.lit(None).cast("string")
@@ -188,8 +193,12 @@ def _attach_groups(assessed: DataFrame, detections: DataFrame) -> DataFrame:
     Only pre-aggregated type lists are joined, one entry per group.
     """
     out = assessed
-    for role in ("enumerator_id", "cluster_id"):
-        out = lookup_join(out, materialize(group_types(detections, role)), [role])
+    types = materialize(group_types(detections))
+    sizes = {r["role"]: r["count"] for r in types.groupBy("role").count().collect()}
+    for role in GROUP_ROLES:
+        table = types.where(F.col("role") == role).select(
+            F.col("id").alias(role), F.col("types").alias(f"_{role}_types"))
+        out = lookup_join(out, table, [role], rows=sizes.get(role, 0))
     empty = F.array().cast(TYPES)
     names = F.concat(*[
         F.transform(F.coalesce(c, empty), lambda t: t["type"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from plumbline.operators.profile import dataset_profile, entity_profiles, variab
 from plumbline.operators.roles import detect_roles, eligible_measures
 from plumbline.operators.rules import Rule, RuleRun, evaluate_rules
 from plumbline.operators.statistics import batch_baselines, evaluate_statistics
+from plumbline.plans.lookup import materialize
 from plumbline.sources.store import Store
 
 # Stage names in running order.
@@ -88,6 +89,8 @@ def assess(
     stages = {"RULES": "COMPLETED", "STATISTICS": "COMPLETED"}
     detectors = run_detectors(df, o.order, o.detectors, enumerator_history, prior, source_batch,
                               batch_id)
+    if fused:
+        detectors = replace(detectors, detections=materialize(detectors.detections))
     stages["INTELLIGENCE"] = "COMPLETED"
     forest = run_forest(df, history, o.forest) if o.use_forest else None
     trained = forest is not None and forest.status == "COMPLETED"
