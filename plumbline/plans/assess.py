@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from plumbline.config import (
     DetectorConfig, ForestSettings, FusionSettings, StatSettings,
 )
+from plumbline.operators.context import evidence_bundles
 from plumbline.operators.detectors.run import DetectorRun, run_detectors
 from plumbline.operators.detectors.shift import prior_counts
 from plumbline.operators.forest import ForestRun, run_forest
 from plumbline.operators.fusion import dataset_context, fuse, record_ids
-from plumbline.operators.profile import dataset_profile, entity_profiles, variable_profiles
+from plumbline.operators.profile import (
+    dataset_profile, entity_profiles, record_zscores, variable_profiles,
+)
 from plumbline.operators.roles import detect_roles, eligible_measures
 from plumbline.operators.rules import Rule, RuleRun, evaluate_rules
 from plumbline.operators.statistics import batch_baselines, evaluate_statistics
@@ -126,6 +129,7 @@ def run_batch(store: Store, batch_id: str, options: AssessOptions = AssessOption
     store.replace("dataset_profiles", batch_id, dataset_profile(df), run_id)
     store.replace("variable_profiles", batch_id, variable_profiles(df), run_id)
     store.replace("entity_profiles", batch_id, entity_profiles(df, options.order), run_id)
+    store.replace("record_profiles", batch_id, record_zscores(df), run_id)
     stages["PROFILE"] = "COMPLETED"
 
     features = eligible_measures(detect_roles(df))
@@ -163,6 +167,14 @@ def run_batch(store: Store, batch_id: str, options: AssessOptions = AssessOption
         store.read("quality_detections", batch_id), remembered, options.fusion), run_id)
     store.replace("dataset_assessments", batch_id,
                   dataset_context(statistics, remembered, options.fusion), run_id)
+    # Bundles for the records somebody has to explain.
+    flagged = store.read("assessments", batch_id).where(
+        F.col("anomaly_status").isin("CONFIRMED", "REVIEW"))
+    store.replace("context_bundles", batch_id, evidence_bundles(
+        flagged, store.read("rule_violations", batch_id), statistics, ml,
+        store.read("variable_profiles", batch_id), store.read("entity_profiles", batch_id)),
+        run_id)
+    stages["CONTEXT"] = "COMPLETED"
     # What later batches compare themselves with.
     store.replace("baselines", batch_id,
                   batch_baselines(df).withColumn("created_at", F.current_timestamp()), run_id)

@@ -70,7 +70,11 @@ def test_two_batches_through_all_stages(spark, tmp_path):
     assert one.agg(F.sum("records")).first()[0] == 60
     order = [r["stage"] for r in store.read("stage_status", "B1").orderBy("position").collect()]
     assert order == ["INGESTION", "PARQUET", "PROFILE", "RULES", "STATISTICS", "INTELLIGENCE",
-                     "ML", "FUSION"]
+                     "ML", "FUSION", "CONTEXT"]
+    # The second run replaced the files behind ``rows``: read again.
+    flagged = store.read("assessments", "B2").where("anomaly_status <> 'NORMAL'").count()
+    assert store.read("context_bundles", "B2").count() == flagged > 0
+    assert store.read("record_profiles", "B2").count() == 60
 
 
 def test_status_of_a_run():
