@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import near_dup
+from plumbline.llm import mixing, near_dup, quality
 from plumbline.plans.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op4_minhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, h, size FROM (SELECT doc_id, source,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)),
+s AS (SELECT source, sum(size)::BIGINT AS s,
+        1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+q AS (SELECT *, row_number() OVER o AS k,
+        ((SELECT sum(s) FROM s)::BIGINT - coalesce(sum(3 * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING
+          AND 1 PRECEDING), 0)::BIGINT)::DOUBLE
+        / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS unit
+      FROM s WINDOW o AS (ORDER BY (3 * s)::DOUBLE / w, source NULLS LAST)),
+u AS (SELECT arg_min(unit, k) AS unit FROM q WHERE 3 * s >= unit * w),
+t AS (SELECT s.*, CASE WHEN 3 * s < unit * w THEN (3 * s)::DOUBLE ELSE unit * w END AS target FROM s, u),
+b AS (SELECT *, CASE WHEN s > 0 THEN floor(target)::BIGINT // s ELSE 0 END AS times,
+        CASE WHEN s > 0 THEN floor(target)::BIGINT % s ELSE 0 END AS rest FROM t),
+c AS (SELECT d.*, b.s, b.target, b.times, b.rest,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING
+          AND 1 PRECEDING), 0)::BIGINT AS before,
+        (sum(size) OVER (PARTITION BY d.source, h))::BIGINT AS tied
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, s AS source_size, target, times * size + CASE
+    WHEN before + tied <= rest THEN size WHEN before > rest OR tied = 0 THEN 0
+    ELSE (rest - before) * size // tied END AS taken FROM c"""
+
+
+@query("op5_source_mixing", _MIX)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "part_words")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
