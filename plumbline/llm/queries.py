@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, mixing, near_dup, quality, toxicity
+from plumbline.llm import language, lz, mixing, near_dup, packing, quality, toxicity
 from plumbline.plans.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lz_fingerprint")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sequence_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
