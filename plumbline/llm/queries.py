@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, lz, mixing, near_dup, packing, quality, toxicity
+from plumbline.llm import language, lz, mixing, near_dup, packing, passages, quality, toxicity
 from plumbline.plans.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sequence_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
