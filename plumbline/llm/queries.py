@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, lz, mixing, near_dup, packing, passages, quality, toxicity
+from plumbline.llm import (
+    language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity,
+)
 from plumbline.plans.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +95,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op1_projected_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
