@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity,
+    language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, warc,
 )
 from plumbline.plans.session import prepare
 
@@ -100,3 +100,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_projected_neighbours")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_warc_archive")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
