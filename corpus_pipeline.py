@@ -1,7 +1,7 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read
-back as the next one's documents.
+back as the next one's documents; all but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -9,21 +9,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from plumbline.llm import near_dup, queries as llm_queries
+from plumbline.llm import mixing, near_dup, packing, passages, quality, queries as llm_queries
 from plumbline.llm.common import written
 from plumbline.plans.session import prepare
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise quality ranking puts below its threshold go.
+
+    It learns from all labelled documents of the data set; a row is judged by its
+    text, so rows of one id are judged each.
+    """
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=None)
+    return quality.filtered(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    groups = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each near-duplicate group stays, that of the smallest doc_id
+    (five-word shingles, similarity of 0.8 or more).
+
+    Of several rows of one id one stays, that of the smallest text; all rows without an
+    id stay.
+    """
+    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    rows = rows.join(kept, "doc_id", "left_semi").withColumn("n", first).where("n = 1")
+    columns = [F.col(f"rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns]
+    return rows.select(*columns).unionByName(docs.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has are cut out of the
+    later one; what was its first occurrence stays. Every document stays."""
+    found = written(passages.repeated_passages(docs), "passages")
+    return passages.without_passages(docs, found)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a repeated document comes as several rows."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every id of every document in one piece of a sequence of at most 1024."""
+    return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_filter", quality_filter), ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup), ("source_mix", source_mix),
+    ("pack_sequences", pack_sequences),
+]
+# Learned scores, minimum hashes, chains and token ids have no SQL.
 ORACLE_SQL: str | None = None
 
 

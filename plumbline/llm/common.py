@@ -128,26 +128,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
 # --- joins and ranks -----------------------------------------------------------------
 
-def hot_join(facts: DataFrame, table: DataFrame, key: str, weight: str,
-             total: int | None = None) -> DataFrame:
+def hot_join(facts: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join of ``facts`` with a stored ``table``, unique on ``key``; ``weight``
     is its column with the number of facts per key.
 
-    Keys above HOT_SHARE of the facts (at most 1 / HOT_SHARE) are broadcast. Their
-    rows and rows without a key are spread over salts in the join of the rest, so
-    ``facts`` is read once and no key meets in one task.
+    A table of at most 1 / HOT_SHARE rows is broadcast. Of a larger one the keys above
+    HOT_SHARE of the facts are (at most 1 / HOT_SHARE exist); their rows and rows
+    without a key are spread over salts in the join of the rest, so ``facts`` is read
+    once and no key meets in one task.
     """
-    total = total if total is not None else (table.agg(F.sum(weight)).first()[0] or 0)
+    size = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(weight), F.lit(0)).alias("facts")).first()
+    if size.rows <= 1 / HOT_SHARE:
+        return facts.join(F.broadcast(table), key, "left").select(
+            *facts.columns, *[c for c in table.columns if c != key])
     values = [c for c in table.columns if c != key]
-    hot = table.where(F.col(weight) > F.lit(HOT_SHARE * total)).select(
+    hot = table.where(F.col(weight) > F.lit(HOT_SHARE * size.facts)).select(
         F.col(key), F.struct(*values).alias("_hot"))
-    cold = table.where(F.col(weight) <= F.lit(HOT_SHARE * total)).select(
+    cold = table.where(F.col(weight) <= F.lit(HOT_SHARE * size.facts)).select(
         F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
     marked = facts.join(F.broadcast(hot), key, "left")
     free = F.col("_hot").isNotNull() | F.col(key).isNull()
+    # Salts follow the row, not chance: a task that runs again deals as before.
+    cells = [c for c in facts.columns if "map<" not in facts.schema[c].dataType.simpleString()]
     marked = marked.withColumns({
         "_key": F.when(~free, F.col(key)),
-        "_salt": F.when(free, 1 + F.floor(F.rand(7) * HOT_SALTS).cast("int")).otherwise(F.lit(0))})
+        "_salt": F.when(free, 1 + F.pmod(F.xxhash64(*cells), F.lit(HOT_SALTS)).cast("int"))
+        .otherwise(F.lit(0))})
     joined = marked.join(cold, ["_key", "_salt"], "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*facts.columns, *[both[c].alias(c) for c in values])

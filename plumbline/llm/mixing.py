@@ -43,31 +43,47 @@ def mix(docs: DataFrame, weights: DataFrame | None = None,
     counts no words; a null source is a source; null ids share one hash. Rows of one
     hash on the threshold share what is left in proportion to their sizes.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    rows = written(_measured(docs, need(docs, "doc_id", "source").columns), "sizes")
+    out = _decided(rows, _plan(rows, weights, most_copies))
+    return out.select("row.doc_id", "row.source", "size", "source_size", "target", "taken", "copies",
+                      "part_words")
+
+
+def _key() -> Column:
+    """A key that a null source has too."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row, source, key, size, hash); ``row`` holds the columns to keep."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
                                       .cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
-    rows = written(need(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", key.alias("key"), word_count("text").alias("size"), hashed.alias("hash")),
-        "sizes")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "source",
+                       _key().alias("key"), word_count("text").alias("size"), hashed.alias("hash"))
+
+
+def _plan(rows: DataFrame, weights: DataFrame | None, most_copies: int) -> DataFrame:
+    """Budget and threshold of each source."""
     sources = rows.groupBy("source", "key").agg(F.sum("size").alias("source_size"),
                                                 F.count("*").alias("n"))
     if weights is None:
         sources = cyclic_weights(sources)
     else:
-        named = need(weights, "source", "weight").withColumn("key", key).drop("source")
+        named = need(weights, "source", "weight").withColumn("key", _key()).drop("source")
         sources = sources.join(named, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     budgets = written(_budgets(written(sources, "sources"), most_copies), "budgets")
-    cuts = written(_thresholds(rows, budgets), "cuts")
-    plan = written(budgets.join(cuts, "key", "left"), "mix_plan")
-    out = hot_join(rows, plan.drop("source"), "key", "n")
-    left = F.col("rest") - F.col("before")
+    return written(budgets.join(_thresholds(rows, budgets), "key", "left").drop("source"), "mix_plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    out = hot_join(rows, plan, "key", "n")
     part = (F.when(F.col("hash") < F.col("cut"), F.col("size"))
             .when(F.col("hash") == F.col("cut"), F.expr("(rest - before) * size div tied"))
             .otherwise(F.lit(0)))
-    out = out.withColumn("_part", F.when(left.isNull(), F.lit(0)).otherwise(part).cast("bigint"))
+    out = out.withColumn("_part", F.when(F.col("before").isNull(), F.lit(0)).otherwise(part).cast("bigint"))
     whole = F.col("_part") >= F.col("size")
     return out.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "row", "size", "source_size", "target",
         (F.col("times") * F.col("size") + F.col("_part")).alias("taken"),
         (F.col("times") + F.when(whole & (F.col("size") > 0), 1).otherwise(0)).cast("int").alias("copies"),
         F.when(whole, F.lit(0)).otherwise(F.col("_part")).cast("bigint").alias("part_words"))
@@ -125,18 +141,23 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("key", F.col("prefix").alias("cut"), "before", F.col("words").alias("tied"))
 
 
-def mixed_rows(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: DataFrame | None = None,
+               most_copies: int = MOST_COPIES) -> DataFrame:
     """The mix as documents: whole copies, and the cut one with its first words.
 
-    Needs unique ids; rows keep all columns of ``docs``, ``n_chars`` follows the text.
+    Rows keep all columns of ``docs``; ``n_chars`` follows the text. A document without
+    words weighs nothing in any budget and stays once.
     """
-    plan = mix(docs, weights).where("taken > 0").select("doc_id", "copies", "part_words")
-    rows = docs.join(plan, "doc_id").withColumn("_cut", F.explode(F.expr(
-        "concat(array_repeat(false, copies), if(part_words > 0, array(true), array()))")))
-    first = F.expr(r"""array_join(slice(regexp_extract_all(text,
-        '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(part_words as int)), '')""")
-    text = F.when(F.col("_cut"), first).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    narrow = written(_measured(docs, ["doc_id"]), "sizes")
+    out = _decided(_measured(docs, docs.columns), _plan(narrow, weights, most_copies))
+    copies = F.expr("if(size = 0, array(false), concat(array_repeat(false, copies), "
+                    "if(part_words > 0, array(true), array())))")
+    rows = out.select("row", "part_words", F.explode(copies).alias("cut"))
+    first = F.expr(r"""array_join(slice(regexp_extract_all(row.text,
+        '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0), 1, cast(part_words as int)), '')""")
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(F.col("cut"), first).otherwise(columns["text"])
+    if "n_chars" in columns:
+        cut_chars = F.char_length(first).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("cut"), cut_chars).otherwise(columns["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in columns.items()])
