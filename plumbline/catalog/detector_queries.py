@@ -25,6 +25,7 @@ from plumbline.operators.detectors.relationship import (
 from plumbline.operators.detectors.run import run_detectors
 from plumbline.operators.detectors.shift import distribution_shift, prior_counts
 from plumbline.operators.detectors.temporal import temporal
+from plumbline.operators.profile import TOP_VALUES
 
 
 def lowered(detector: str, **thresholds: float):
@@ -331,7 +332,7 @@ def _shift_sql(top: bool) -> str:
 
 def _shift(full):
     def run(spark, sf_dir):
-        prior = prior_counts(survey_batch(spark, sf_dir, "B2"), full)
+        prior = prior_counts(survey_batch(spark, sf_dir, "B2"), None if full else TOP_VALUES)
         s = Survey.of(survey_batch(spark, sf_dir, "B3"),
                       configs=lowered("DISTRIBUTION_SHIFT", tvd_threshold=0.01))
         return shown(distribution_shift(s, prior, "B2", "B3").detections)

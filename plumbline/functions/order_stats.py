@@ -1,10 +1,8 @@
 """Exact order statistics that never sort one column in one task.
 
-``exact_quantiles`` interpolates linearly between neighbours. Up to
-``small_rows`` values it uses Spark's ``percentile``, whose memory is bounded by
-that count. Beyond it, a sketch gives a narrow bracket around every wanted rank,
-one more pass counts what lies below the bracket, and only the values inside the
-bracket are ordered.
+``exact_quantiles`` interpolates linearly between neighbours. Sketches narrow a
+bracket around every wanted rank until few values are left in it, and only those are
+ordered.
 
 ``rank_table`` gives every distinct value its first and last position. Values
 are counted first (so copies shrink before the shuffle), cut at sketch-chosen
@@ -14,6 +12,8 @@ points into many ranges, and ordered inside each range.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.values import finite
 from plumbline.plans.lookup import materialize
 
-SMALL_ROWS = 1_000_000
+INSIDE_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 RANGES = 128
 
@@ -35,91 +35,104 @@ def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
     probs: list[float],
-    small_rows: int = SMALL_ROWS,
+    inside_rows: int = INSIDE_ROWS,
 ) -> dict[str, list[float] | None]:
-    """{name: [quantile per prob]}; None for a column without values."""
+    """{name: [quantile per prob]}; None for a column without values.
+
+    A bracket per wanted rank starts as the whole column. Each round is one pass: a
+    sketch of what lies inside gives narrower brackets, and counts tell which of them
+    hold their rank. A bracket whose sketch missed keeps its bounds with a wider
+    margin. When at most ``inside_rows`` values (or only copies of one) are left in
+    each, those are counted and ordered.
+    """
     if not columns:
         return {}
     names = list(columns)
     values = df.select(*[finite(columns[c].cast("double")).alias(f"v{i}")
                          for i, c in enumerate(names)])
-    margin = 2.0 / SKETCH_ACCURACY
-    edges = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
-    head = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.percentile_approx(f"v{i}", edges, SKETCH_ACCURACY).alias(f"s{i}")
-          for i in range(len(names))],
-    ).first()
-    counts = [head[f"n{i}"] for i in range(len(names))]
-    if max(counts) <= small_rows:
-        row = values.agg(
-            *[F.percentile(f"v{i}", _literals(probs)).alias(f"q{i}")
-              for i in range(len(names))]
-        ).first()
-        return {c: (list(row[f"q{i}"]) if counts[i] else None) for i, c in enumerate(names)}
-
-    brackets = []
-    for i in range(len(names)):
-        for j, p in enumerate(probs):
-            if counts[i]:
-                low, high = head[f"s{i}"][2 * j], head[f"s{i}"][2 * j + 1]
-                brackets.append((i, j, p * (counts[i] - 1), low, high))
-    below_row = values.agg(
-        *[F.count_if(F.col(f"v{i}") < low).alias(f"b{k}")
-          for k, (i, _, _, low, _) in enumerate(brackets)],
-        *[F.count_if(F.col(f"v{i}") <= high).alias(f"u{k}")
-          for k, (i, _, _, _, high) in enumerate(brackets)],
-    ).first()
-    checked = []
-    for k, (i, j, position, low, high) in enumerate(brackets):
-        below, upto = below_row[f"b{k}"], below_row[f"u{k}"]
-        if not below <= math.floor(position) or not math.ceil(position) < upto:
-            # The sketch missed; take the whole column as the bracket.
-            below, low, high = 0, -math.inf, math.inf
-        checked.append((k, i, j, position, low, high, below))
+    counts = list(values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first())
+    brackets = [_Bracket(i, j, p * (counts[i] - 1), count=counts[i])
+                for i in range(len(names)) if counts[i] for j, p in enumerate(probs)]
+    while wide := [b for b in brackets if b.count > inside_rows and b.low < b.high and not b.done]:
+        _narrow(values, wide)
+    found = _ranked_values(values, brackets)
+    result: dict[str, list[float] | None] = {
+        c: ([0.0] * len(probs) if counts[i] else None) for i, c in enumerate(names)
+    }
+    for k, b in enumerate(brackets):
+        near, far = math.floor(b.position), math.ceil(b.position)
+        low, high = found[k, near - b.below], found[k, far - b.below]
+        result[names[b.column]][b.prob] = (
+            low if near == far else (far - b.position) * low + (b.position - near) * high)
+    return result
+
 
+@dataclass
+class _Bracket:
+    """Values of a column between two bounds, in which a wanted rank lies."""
+
+    column: int
+    prob: int
+    position: float
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0
+    count: int = 0
+    margin: float = 2.0 / SKETCH_ACCURACY
+    done: bool = False
+
+    def holds(self, low: float, high: float) -> Column:
+        v = F.col(f"v{self.column}")
+        return (v >= F.lit(float(low))) & (v <= F.lit(float(high)))
+
+
+def _narrow(values: DataFrame, brackets: list[_Bracket]) -> None:
+    sketches = values.agg(*[
+        F.percentile_approx(F.when(b.holds(b.low, b.high), F.col(f"v{b.column}")), [
+            min(1.0, max(0.0, (b.position - b.below) / max(b.count - 1, 1) + d))
+            for d in (-b.margin, b.margin)], SKETCH_ACCURACY).alias(f"s{k}")
+        for k, b in enumerate(brackets)]).first()
+    bounds = [tuple(s) for s in sketches]
+    seen = values.agg(
+        *[F.count_if(F.col(f"v{b.column}") < F.lit(float(low))).alias(f"b{k}")
+          for k, (b, (low, _)) in enumerate(zip(brackets, bounds, strict=True))],
+        *[F.count_if(b.holds(low, high)).alias(f"c{k}")
+          for k, (b, (low, high)) in enumerate(zip(brackets, bounds, strict=True))]).first()
+    for k, (b, (low, high)) in enumerate(zip(brackets, bounds, strict=True)):
+        below, count = seen[f"b{k}"], seen[f"c{k}"]
+        holds = below <= math.floor(b.position) and math.ceil(b.position) < below + count
+        if holds:
+            # Where less than half goes, copies of few values fill the bracket.
+            b.done = 2 * count > b.count
+            b.low, b.high, b.below, b.count = low, high, below, count
+        else:
+            b.done = b.margin >= 1.0
+            b.margin *= 4
+
+
+def _ranked_values(values: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """{(bracket, rank inside it): value} for the two ranks around each position."""
+    if not brackets:
+        return {}
     inside = (
-        values.select(
-            F.explode(
-                F.array(*[
-                    F.when(
-                        (F.col(f"v{i}") >= F.lit(float(low))) & (F.col(f"v{i}") <= F.lit(float(high))),
-                        F.struct(F.lit(k).alias("k"), F.col(f"v{i}").alias("value")),
-                    )
-                    for k, i, _, _, low, high, _ in checked
-                ])
-            ).alias("hit")
-        )
-        .where("hit is not null")
-        .groupBy("hit.k", "hit.value")
+        values.select(F.explode(F.array(*[
+            F.when(b.holds(b.low, b.high),
+                   F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("value")))
+            for k, b in enumerate(brackets)])).alias("hit"))
+        .where("hit is not null").groupBy("hit.k", "hit.value")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     spot = Window.partitionBy("k").orderBy("value")
     last = F.sum("copies").over(spot.rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.lit(False)
-    for k, _, _, position, _, _, below in checked:
-        for rank in {math.floor(position) - below, math.ceil(position) - below}:
-            wanted = wanted | (
-                (F.col("k") == k) & (F.col("first") <= rank) & (F.lit(rank) < F.col("last"))
-            )
-    found = (
-        inside.withColumn("last", last)
-        .withColumn("first", F.col("last") - F.col("copies"))
-        .where(wanted)
-        .collect()  # at most two rows per column and probability
-    )
-    result: dict[str, list[float] | None] = {
-        c: ([0.0] * len(probs) if counts[i] else None) for i, c in enumerate(names)
-    }
-    for k, i, j, position, _, _, below in checked:
-        def at(rank: int) -> float:
-            return next(r["value"] for r in found
-                        if r["k"] == k and r["first"] <= rank - below < r["last"])
-
-        low_rank, high_rank = math.floor(position), math.ceil(position)
-        low_value = at(low_rank)
-        result[names[i]][j] = low_value + (position - low_rank) * (at(high_rank) - low_value)
-    return result
+    ranks = [(k, rank - b.below) for k, b in enumerate(brackets)
+             for rank in sorted({math.floor(b.position), math.ceil(b.position)})]
+    wanted = reduce(lambda acc, kr: acc | (
+        (F.col("k") == kr[0]) & (F.col("first") <= kr[1]) & (F.lit(kr[1]) < F.col("last"))),
+        ranks, F.lit(False))
+    rows = (inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("copies"))
+            .where(wanted).collect())  # at most two rows per column and probability
+    return {(k, rank): next(r["value"] for r in rows if r["k"] == k and r["first"] <= rank < r["last"])
+            for k, rank in ranks}
 
 
 def rank_table(

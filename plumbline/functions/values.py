@@ -101,6 +101,5 @@ def id_text(c: Column) -> Column:
 
 
 def column_key(name: object) -> str:
-    """Lower-case name with every run of other characters as one underscore."""
-    key = re.sub(r"[^a-z0-9]+", "_", str(name).strip().lower()).strip("_")
-    return key or "column"
+    """The letters and digits of a name, lower-case, in runs joined by underscores."""
+    return "_".join(re.findall("[a-z0-9]+", str(name).lower())) or "column"

@@ -160,32 +160,39 @@ def evidence_bundles(
         (nothing | (F.col("trimmed") == 3)).alias("no_detected_evidence"))
 
 
+# Scope -> what a record must be: seen as an anomaly, or of a grave severity.
+SUBJECT_SCOPES = {"all": (), "detected": ("found",), "priority": ("grave",)}
+
+
 def choose_subjects(
     assessments: DataFrame, scope: str = "priority", severity: str | None = None,
-    min_risk: float | None = None, limit: int | None = None,
+    min_risk: float | None = None, limit: int | None = SUBJECT_DEFAULT,
 ) -> tuple[DataFrame, DataFrame]:
     """(chosen records in order, one row with ``skipped``).
 
-    Scope: detected (confirmed or review), all, or priority (HIGH and CRITICAL).
+    A named severity stands in for the scope. A least risk replaces the grave
+    severities by that risk and, but for scope "all", leaves anomalies only.
+    ``limit`` is 1 to 200; the rest is counted as skipped.
     """
-    size = max(1, min(SUBJECT_DEFAULT if limit is None else int(limit), SUBJECT_LIMIT))
-    detected = F.col("anomaly_status").isin("CONFIRMED", "REVIEW")
-    rows = assessments
-    if severity:
-        rows = rows.where(F.col("severity") == severity)
-    elif scope == "detected":
-        rows = rows.where(detected)
-    elif scope != "all" and min_risk is None:
-        rows = rows.where(F.col("severity").isin("HIGH", "CRITICAL"))
+    if limit is None:
+        limit = SUBJECT_DEFAULT
+    if not 1 <= limit <= SUBJECT_LIMIT:
+        raise ValueError(f"limit {limit}: 1 to {SUBJECT_LIMIT} subjects can be chosen")
+    tests = {
+        "found": F.col("anomaly_status").isin("CONFIRMED", "REVIEW"),
+        "grave": F.col("severity").isin("HIGH", "CRITICAL"),
+        "severity": F.col("severity") == severity,
+        "risk": F.col("risk_score") >= min_risk,
+    }
+    wanted = {"severity"} if severity else set(SUBJECT_SCOPES.get(scope, ("grave",)))
     if min_risk is not None:
-        rows = rows.where(F.col("risk_score") >= min_risk)
-        if scope != "all":
-            rows = rows.where(detected)
-    chosen = rows.orderBy(
-        severity_order(F.col("severity")), F.desc("risk_score"), "record_id").limit(size)
-    skipped = rows.agg(F.greatest(F.lit(0).cast("long"), F.count(F.lit(1)) - size)
-                       .alias("skipped"))
-    return chosen, skipped
+        wanted = (wanted - {"grave"}) | {"risk"} | ({"found"} if scope != "all" else set())
+    rows = assessments
+    for name in sorted(wanted):
+        rows = rows.where(tests[name])
+    order = (severity_order(F.col("severity")), F.desc("risk_score"), "record_id")
+    left = F.greatest(F.count(F.lit(1)) - limit, F.lit(0).cast("long"))
+    return rows.orderBy(*order).limit(limit), rows.agg(left.alias("skipped"))
 
 
 def without_assessment(records: DataFrame, assessments: DataFrame) -> DataFrame:

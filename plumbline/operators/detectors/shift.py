@@ -26,15 +26,13 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
-def prior_counts(df: DataFrame, full: bool = False) -> DataFrame:
-    """(variable, value, count) an earlier batch is remembered by.
-
-    By default the ten most frequent values per column, as profiles keep them.
-    """
+def prior_counts(df: DataFrame, top: int | None = None) -> DataFrame:
+    """(variable, value, count) an earlier batch is remembered by: all values, or the
+    ``top`` most frequent of each column."""
     counts = category_counts(df, text_columns(df)).where(F.col("value").isNotNull())
-    if full:
+    if top is None:
         return counts
-    return top_values(counts, ["variable"], TOP_VALUES).drop("position")
+    return top_values(counts, ["variable"], top).drop("position")
 
 
 def variation_distance(prior: DataFrame, current: DataFrame) -> DataFrame:

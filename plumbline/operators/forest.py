@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,23 +90,42 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return sorted(nodes)
 
 
-def grow_forest(matrix: DataFrame, rows: int, s: ForestSettings) -> tuple[pd.DataFrame, int]:
-    """Node table of all trees and the sample size per tree."""
+def _uniform(*cells) -> Column:
+    """A hash of the cells in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(*cells), 11) / float(1 << 53)
+
+
+def tree_samples(matrix: DataFrame, rows: int, s: ForestSettings) -> tuple[DataFrame, int]:
+    """(tree, _place, features) and the sample size per tree.
+
+    Rows are drawn by a hash of their cells, so a table gives the same samples however
+    it is partitioned; equal rows are told apart by their number. A row is a candidate
+    of about 3 x trees x size / rows trees (of all, in a small table) and a tree takes
+    the ``size`` candidates of smallest hash.
+    """
     features = matrix.columns
     size = min(s.subsample, rows)
-    pool_rows = 2 * s.trees * size
-    # One cheap draw over the table, then the per-tree draws over the pool only.
-    pool = matrix if rows <= pool_rows else matrix.sample(pool_rows / rows, seed=s.seed)
-    pool = materialize(pool)
-    share = min(1.0, 3.0 * size / min(rows, pool_rows))
-    by_tree = Window.partitionBy("tree").orderBy("_draw")
-    samples = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))))
-        .withColumn("_draw", F.rand(s.seed))
-        .where(F.col("_draw") < share)
-        .withColumn("_place", F.row_number().over(by_tree))
-        .where(F.col("_place") <= size)
+    wanted = 3.0 * s.trees * size / max(rows, 1)
+    turns = min(s.trees, math.ceil(wanted))
+    cells = [F.col(f"`{f}`") for f in features]
+    copies = matrix.groupBy(*features).agg(F.count(F.lit(1)).alias("_n")).select(
+        *features, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+    start = F.floor(_uniform(F.lit(s.seed), *cells, "_copy") * s.trees).cast("int")
+    drawn = (
+        copies.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        .withColumn("tree", (start + F.col("_turn")) % s.trees)
+        .withColumn("_draw", _uniform(F.lit(s.seed + 1), "tree", *cells, "_copy"))
+        .where(F.col("_draw") < wanted / turns)
     )
+    by_tree = Window.partitionBy("tree").orderBy("_draw", *features, "_copy")
+    placed = drawn.withColumn("_place", F.row_number().over(by_tree)).where(F.col("_place") <= size)
+    return placed.select("tree", "_place", *features), size
+
+
+def grow_forest(matrix: DataFrame, rows: int, s: ForestSettings) -> tuple[pd.DataFrame, int]:
+    """Node table of all trees and the sample size per tree."""
+    features = matrix.columns
+    samples, size = tree_samples(matrix, rows, s)
     limit = math.ceil(math.log2(max(size, 2)))
     seed = s.seed
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +37,11 @@ class SchemaOptions:
 
 def canonical_names(names: list[str], aliases: dict[str, str] | None = None) -> list[str]:
     """Clean names, apply aliases, number repeats from 2 on."""
-    taken: dict[str, int] = {}
-    result = []
-    for raw in names:
-        key = column_key(raw)
-        key = (aliases or {}).get(key, key)
-        taken[key] = taken.get(key, 0) + 1
-        result.append(key if taken[key] == 1 else f"{key}_{taken[key]}")
-    return result
+    renamed = dict(aliases or {})
+    keys = [renamed.get(k, k) for k in map(column_key, names)]
+    places = defaultdict(lambda: count(1))
+    numbered = [(k, next(places[k])) for k in keys]
+    return [k if n == 1 else f"{k}_{n}" for k, n in numbered]
 
 
 def _cells(df: DataFrame) -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -11,17 +12,20 @@ from plumbline.config import (
     DetectorConfig, ForestSettings, FusionSettings, StatSettings,
 )
 from plumbline.operators.context import evidence_bundles
-from plumbline.operators.detectors.run import DetectorRun, run_detectors
+from plumbline.operators.detectors.common import no_detections
+from plumbline.operators.detectors.run import DetectorRun, run_detectors, skipped_families
 from plumbline.operators.detectors.shift import prior_counts
+from plumbline.operators.forest import EVIDENCE as FOREST_EVIDENCE
 from plumbline.operators.forest import ForestRun, run_forest
 from plumbline.operators.fusion import dataset_context, fuse, record_ids
 from plumbline.operators.profile import (
-    dataset_profile, entity_profiles, record_zscores, variable_profiles,
+    dataset_profile, entity_profiles, record_deviations, record_percentiles, record_zscores,
+    variable_profiles,
 )
 from plumbline.operators.roles import detect_roles, eligible_measures
-from plumbline.operators.rules import Rule, RuleRun, evaluate_rules
+from plumbline.operators.rules import Rule, RuleRun, evaluate_rules, skipped_rules
 from plumbline.operators.statistics import batch_baselines, evaluate_statistics
-from plumbline.plans.lookup import materialize
+from plumbline.plans.lookup import empty_frame, materialize
 from plumbline.sources.store import Store
 
 # Stage names in running order.
@@ -76,13 +80,9 @@ def assess(
     source_batch: str = "",
     enumerator_history: DataFrame | None = None,
     history: DataFrame | None = None,
-    fused: bool = True,
 ) -> Assessed:
     """All stages over one frame; nothing is written.
 
-    With ``fused`` off the evidence is returned without an assessment, for
-    callers that store it first.
-
     ``baselines``, ``prior``, ``enumerator_history`` and ``history`` describe
     earlier batches: means per variable, value counts, rates, and records.
     """
@@ -92,8 +92,7 @@ def assess(
     stages = {"RULES": "COMPLETED", "STATISTICS": "COMPLETED"}
     detectors = run_detectors(df, o.order, o.detectors, enumerator_history, prior, source_batch,
                               batch_id)
-    if fused:
-        detectors = replace(detectors, detections=materialize(detectors.detections))
+    detectors = replace(detectors, detections=materialize(detectors.detections))
     stages["INTELLIGENCE"] = "COMPLETED"
     forest = run_forest(df, history, o.forest) if o.use_forest else None
     trained = forest is not None and forest.status == "COMPLETED"
@@ -101,85 +100,159 @@ def assess(
     known = baselines is not None and not baselines.where(
         (F.col("batch_id") != batch_id) & F.col("mean").isNotNull()).isEmpty()
     remembered = known or (trained and forest.training_source == "historical")
-    assessments = None
-    if fused:
-        assessments = fuse(
-            record_ids(df), rules.violations, statistics, forest.evidence if trained else None,
-            detectors.detections, history=remembered, settings=o.fusion)
+    assessments = fuse(
+        record_ids(df), rules.violations, statistics, forest.evidence if trained else None,
+        detectors.detections, history=remembered, settings=o.fusion)
     stages["FUSION"] = "COMPLETED"
     return Assessed(rules, statistics, detectors, forest, assessments,
                     dataset_context(statistics, remembered, o.fusion), stages)
 
 
+class StageFailed(Exception):
+    """A stage that the rest of a run cannot do without."""
+
+
+class StageLog:
+    """Runs stages in turn and stores the status of each as it ends."""
+
+    def __init__(self, store: Store, batch_id: str, run_id: int):
+        self.store, self.batch_id, self.run_id = store, batch_id, run_id
+        self.rows: dict[str, tuple[str, str | None]] = {}
+
+    @property
+    def stages(self) -> dict[str, str]:
+        return {name: status for name, (status, _) in self.rows.items()}
+
+    def note(self, name: str, status: str, reason: str | None = None) -> None:
+        self.rows[name] = (status, reason)
+        rows = [(STAGES.index(n), n, *row) for n, row in self.rows.items()]
+        self.store.replace("stage_status", self.batch_id, self.store.spark.createDataFrame(
+            rows, "position int, stage string, status string, reason string"), self.run_id)
+
+    def run(self, name: str, work: Callable[[], tuple[str, str | None] | None],
+            soft: bool = False) -> None:
+        """``work`` may name a status and reason; a soft stage that raises is UNAVAILABLE."""
+        try:
+            status, reason = work() or ("COMPLETED", None)
+        except Exception as error:
+            self.note(name, "UNAVAILABLE" if soft else "FAILED",
+                      f"{type(error).__name__}: {str(error)[:500]}")
+            if not soft:
+                raise StageFailed(name) from error
+            return
+        self.note(name, status, reason)
+
+
 def run_batch(store: Store, batch_id: str, options: AssessOptions = AssessOptions(),
               run_id: int = 1) -> dict[str, str]:
     """Assess a stored batch and write every derived table.
 
-    Each stage reads the records, or what an earlier stage wrote; a lost
-    executor costs a task, not a stage. Returns the status per stage.
+    Each stage reads the records, or what an earlier stage of this run wrote; a lost
+    executor costs a task, not a stage. Detectors and context that raise are
+    UNAVAILABLE; any other stage that raises is FAILED and ends the run. Returns the
+    status per stage, which ``stage_status`` holds with reasons as soon as each ends.
     """
-    spark = store.spark
-    stages = {"INGESTION": "COMPLETED"}
     known = store.batches().where(F.col("batch_id") == batch_id).select("status").first()
     if known is None or known["status"] not in ("COMPLETED", "PROFILED"):
         return {"INGESTION": "FAILED"}
+    log = StageLog(store, batch_id, run_id)
+    log.note("INGESTION", "COMPLETED")
+    try:
+        _run_stages(store, batch_id, options, run_id, log)
+    except StageFailed:
+        pass  # the log has the stage and its reason
+    return log.stages
+
+
+def _run_stages(store: Store, batch_id: str, o: AssessOptions, run_id: int, log: StageLog) -> None:
+    spark = store.spark
+
+    def write(table: str, df: DataFrame) -> None:
+        store.replace(table, batch_id, df, run_id)
+
+    def read(table: str) -> DataFrame:
+        return store.read(table, batch_id, run_id)
+
+    def read_records() -> None:
+        store.read_batch(batch_id).schema  # noqa: B018  fails if the files are gone
+
+    log.run("PARQUET", read_records)
     df = store.read_batch(batch_id)
-    stages["PARQUET"] = "COMPLETED"
 
-    store.replace("dataset_profiles", batch_id, dataset_profile(df), run_id)
-    store.replace("variable_profiles", batch_id, variable_profiles(df), run_id)
-    store.replace("entity_profiles", batch_id, entity_profiles(df, options.order), run_id)
-    store.replace("record_profiles", batch_id, record_zscores(df), run_id)
-    stages["PROFILE"] = "COMPLETED"
+    def profile() -> None:
+        write("dataset_profiles", dataset_profile(df))
+        write("variable_profiles", variable_profiles(df))
+        write("entity_profiles", entity_profiles(df, o.order))
+        write("record_profiles", record_zscores(df))
+        write("record_percentiles", record_percentiles(df))
+        write("record_deviations", record_deviations(df))
 
-    features = eligible_measures(detect_roles(df))
+    log.run("PROFILE", profile)
     stored = store.read_if_present("baselines")
     earlier = None if stored is None else stored.where(F.col("batch_id") != batch_id)
     newest = None if earlier is None else earlier.orderBy(
         F.desc("created_at"), F.desc("batch_id")).select("batch_id").first()
     source = newest["batch_id"] if newest else ""
-    values = store.read_if_present("value_counts") if newest else None
-    people = store.read_if_present("entity_profiles") if newest else None
-    done = assess(
-        df, options, batch_id,
-        baselines=earlier if newest else None,
-        prior=None if values is None else values.where(F.col("batch_id") == source)
-        .select("variable", "value", "count"),
-        source_batch=source,
-        enumerator_history=None if people is None else people.where(
-            (F.col("batch_id") == source) & (F.col("scope") == "enumerator")
-        ).select(F.col("id").alias("enumerator_id"), "employment_rate"),
-        history=store.prior_records(batch_id, features) if newest else None,
-        fused=False,
-    )
-    stages.update(done.stages)
-    store.replace("rule_violations", batch_id, done.rules.violations, run_id)
-    store.replace("statistical_evidence", batch_id, done.statistics, run_id)
-    store.replace("quality_detections", batch_id, done.detectors.detections, run_id)
-    ml = None
-    if stages["ML"] == "COMPLETED":
-        store.replace("ml_evidence", batch_id, done.forest.evidence, run_id)
-        ml = store.read("ml_evidence", batch_id)
-    statistics = store.read("statistical_evidence", batch_id)
-    remembered = bool(newest) or (ml is not None and done.forest.training_source == "historical")
-    store.replace("assessments", batch_id, fuse(
-        record_ids(df), store.read("rule_violations", batch_id), statistics, ml,
-        store.read("quality_detections", batch_id), remembered, options.fusion), run_id)
-    store.replace("dataset_assessments", batch_id,
-                  dataset_context(statistics, remembered, options.fusion), run_id)
-    # Bundles for the records somebody has to explain.
-    flagged = store.read("assessments", batch_id).where(
-        F.col("anomaly_status").isin("CONFIRMED", "REVIEW"))
-    store.replace("context_bundles", batch_id, evidence_bundles(
-        flagged, store.read("rule_violations", batch_id), statistics, ml,
-        store.read("variable_profiles", batch_id), store.read("entity_profiles", batch_id)),
-        run_id)
-    stages["CONTEXT"] = "COMPLETED"
+    has_means = bool(newest) and not earlier.where(F.col("mean").isNotNull()).isEmpty()
+    found: dict[str, object] = {}
+
+    def rules() -> None:
+        done = evaluate_rules(df, o.rules, o.references, o.survey_code)
+        write("rule_violations", done.violations)
+        write("skipped_rules", skipped_rules(spark, done))
+
+    log.run("RULES", rules)
+    log.run("STATISTICS", lambda: write("statistical_evidence", evaluate_statistics(
+        df, earlier if newest else None, batch_id, o.statistics)))
+
+    def intelligence() -> None:
+        values = store.read("value_counts", source) if newest else None
+        people = store.read("entity_profiles", source) if newest else None
+        done = run_detectors(
+            df, o.order, o.detectors,
+            None if people is None else people.where(F.col("scope") == "enumerator").select(
+                F.col("id").alias("enumerator_id"), "employment_rate"),
+            None if values is None else values.select("variable", "value", "count"),
+            source, batch_id)
+        write("quality_detections", done.detections)
+        write("skipped_detectors", skipped_families(done, spark))
+
+    write("quality_detections", no_detections(spark))
+    log.run("INTELLIGENCE", intelligence, soft=True)
+
+    def forest() -> tuple[str, str | None]:
+        write("ml_evidence", empty_frame(spark, FOREST_EVIDENCE))
+        if not o.use_forest:
+            return "UNAVAILABLE", "switched off"
+        features = eligible_measures(detect_roles(df))
+        done = run_forest(df, store.prior_records(batch_id, features) if newest else None, o.forest)
+        if done.status != "COMPLETED":
+            return "UNAVAILABLE", done.status
+        write("ml_evidence", done.evidence)
+        found["trained_on"] = done.training_source
+        return "COMPLETED", None
+
+    log.run("ML", forest)
+    ml = read("ml_evidence") if log.stages["ML"] == "COMPLETED" else None
+    remembered = has_means or found.get("trained_on") == "historical"
+
+    def fusion() -> None:
+        write("assessments", fuse(
+            record_ids(df), read("rule_violations"), read("statistical_evidence"), ml,
+            read("quality_detections"), remembered, o.fusion))
+        write("dataset_assessments",
+              dataset_context(read("statistical_evidence"), remembered, o.fusion))
+
+    log.run("FUSION", fusion)
+
+    def context() -> None:
+        # Bundles for the records somebody has to explain.
+        flagged = read("assessments").where(F.col("anomaly_status").isin("CONFIRMED", "REVIEW"))
+        write("context_bundles", evidence_bundles(
+            flagged, read("rule_violations"), read("statistical_evidence"), ml,
+            read("variable_profiles"), read("entity_profiles")))
+
+    log.run("CONTEXT", context, soft=True)
     # What later batches compare themselves with.
-    store.replace("baselines", batch_id,
-                  batch_baselines(df).withColumn("created_at", F.current_timestamp()), run_id)
-    store.replace("value_counts", batch_id, prior_counts(df), run_id)
-    store.replace("stage_status", batch_id, spark.createDataFrame(
-        [(i, s, stages[s]) for i, s in enumerate(STAGES) if s in stages],
-        "position int, stage string, status string"), run_id)
-    return stages
+    write("baselines", batch_baselines(df).withColumn("created_at", F.current_timestamp()))
+    write("value_counts", prior_counts(df))

@@ -1,13 +1,14 @@
 """Tables of a survey store: batches, records, evidence, profiles, results.
 
-Everything lives under one root as Parquet, partitioned by batch. Writing a
-batch again replaces only its own partition.
+Everything lives under one root as Parquet, one folder per batch. Writing a batch
+again replaces only its own folder.
 """
 
 from __future__ import annotations
 
 import uuid
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,10 @@ class Store:
         return log.groupBy("batch_id").agg(newest.alias("_b")).select(
             *[F.col(f"_b.{c}").alias(c) for c in log.columns])
 
-    def new_batch_id(self, source: str, attempts: int = 8) -> str:
-        for _ in range(attempts):
-            stamp = datetime.now(UTC).strftime("%Y_%m_%d_%H%M%S")
-            candidate = f"BATCH_{stamp}_{source}_{uuid.uuid4().hex[:6]}"
-            if self.batches().where(F.col("batch_id") == candidate).isEmpty():
-                return candidate
-        raise RuntimeError("could not allocate a unique batch_id")
+    def new_batch_id(self, source: str) -> str:
+        """A name by time and source; its random part makes it unique, and
+        ``write_batch`` refuses one that exists."""
+        return f"BATCH_{datetime.now(UTC):%Y_%m_%d_%H%M%S}_{source}_{uuid.uuid4().hex[:12]}"
 
     def register(self, batch_id: str, source: str, result: Standardized, records: int,
                  status: str, input_hash: str | None = None, survey_code: str = "DEMO",
@@ -117,15 +115,24 @@ class Store:
     # -- derived tables --
 
     def replace(self, table: str, batch_id: str, df: DataFrame, run_id: int = 1) -> None:
-        """Write a derived table of one batch; an earlier run is replaced."""
-        (df.withColumn("run_id", F.lit(run_id).cast("long"))
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.path(table)))
-
-    def read(self, table: str, batch_id: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(table))
-        return df if batch_id is None else df.where(F.col("batch_id") == batch_id)
+        """Write a derived table of one batch; what an earlier run wrote goes, also
+        where this run has no row. An empty table keeps its columns."""
+        (df.withColumns({"run_id": F.lit(run_id).cast("long"), "batch_id": F.lit(batch_id)})
+         .write.mode("overwrite").parquet(self.batch_path(table, batch_id)))
+
+    def batch_path(self, table: str, batch_id: str) -> str:
+        return f"{self.path(table)}/part={quote(batch_id, safe='')}"
+
+    def read(self, table: str, batch_id: str | None = None, run_id: int | None = None) -> DataFrame:
+        """A derived table or ``records``: of all batches, one batch, or one run of it."""
+        if table == "records":
+            df = self.spark.read.parquet(self.path(table))
+            df = df.withColumn("batch_id", F.col("batch_id").cast("string"))
+            return df if batch_id is None else df.where(F.col("batch_id") == batch_id)
+        path = self.path(table) if batch_id is None else self.batch_path(table, batch_id)
+        df = self.spark.read.parquet(path)
+        df = df.drop("part") if "part" in df.columns and batch_id is None else df
+        return df if run_id is None else df.where(F.col("run_id") == run_id)
 
     def read_if_present(self, table: str) -> DataFrame | None:
         try:

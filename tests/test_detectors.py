@@ -15,7 +15,7 @@ from plumbline.operators.detectors.run import filter_detections, run_detectors
 from plumbline.operators.detectors.shift import (
     distribution_shift, prior_counts, stability_index,
 )
-from plumbline.operators.detectors.temporal import change_points, temporal
+from plumbline.operators.detectors.temporal import period_steps, temporal
 
 
 def types(outcome):
@@ -146,14 +146,33 @@ def test_temporal(spark):
     assert not temporal(Survey.of(df.drop("survey_round"))).available
 
 
-def test_drift_is_the_same_folded_and_streamed(spark):
+def test_steps_are_those_of_one_walk_over_all_periods(spark):
     rng = np.random.default_rng(5)
     rates = np.clip(np.linspace(0, 1, 60) + rng.normal(0, .1, 60), 0, 1)
-    table = spark.createDataFrame([(f"p{i:03d}", 20, float(r)) for i, r in enumerate(rates)],
-                                  "period string, n bigint, rate double")
-    folded = change_points(table, 60).orderBy("period").collect()
-    streamed = change_points(table, 60, fold_periods=10).orderBy("period").collect()
-    assert len(folded) > 2 and [tuple(r) for r in folded] == [tuple(r) for r in streamed]
+    rows = [(f"p{i:03d}", 20 if i % 7 else 3, float(r)) for i, r in enumerate(rates)]
+    smooth, drift, before, want = None, 0.0, (None, None, None), []
+    for period, n, rate in rows:
+        signal = (None, None)
+        if n >= 8:
+            smooth = rate if smooth is None else 0.4 * rate + 0.6 * smooth
+            drift = max(0.0, drift + rate - smooth)
+            if drift >= 0.15:
+                signal, drift = (smooth, drift), 0.0
+        want.append((period, n, rate, *before, *signal))
+        before = (period, n, rate)
+    frame = spark.createDataFrame(rows, "period string, n bigint, rate double")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):  # one range, and one per shuffle partition
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            got = sorted(tuple(r) for r in period_steps(frame.repartition(5), 8).collect())
+            assert [g[:6] for g in got] == [w[:6] for w in want]
+            assert [g[6] is None for g in got] == [w[6] is None for w in want]
+            assert np.allclose([g[6:] for g in got if g[6]], [w[6:] for w in want if w[6]])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sum(w[6] is not None for w in want) > 2
+    assert not period_steps(frame.limit(0), 8).collect()
 
 
 def test_distribution_shift(spark):

@@ -4,7 +4,7 @@ import pytest
 
 from plumbline.config import ForestSettings
 from plumbline.operators.forest import (
-    apply_medians, fit_medians, mean_depth, run_forest, scaled, score_range,
+    apply_medians, fit_medians, mean_depth, run_forest, scaled, score_range, tree_samples,
 )
 
 SMALL = ForestSettings(trees=40)
@@ -77,3 +77,28 @@ def test_scaling(spark):
 def test_expected_depth():
     assert mean_depth(1) == 0 and mean_depth(2) == 1
     assert mean_depth(256) == pytest.approx(10.2448, abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [300, 9000])
+def test_labels_do_not_depend_on_partitions(spark, n):
+    """Also above the size at which a row serves a few trees only, and with copies."""
+    settings = ForestSettings(trees=10, subsample=64)
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame({"record_id": [f"R{i}" for i in range(n)], "a": rng.normal(50, 5, n).round(1),
+                      "b": rng.integers(0, 30, n).astype(float)})
+    df = spark.createDataFrame(x)
+    runs = [run_forest(df.repartition(p), settings=settings).scores.toPandas().set_index("record_id")
+            for p in (1, 7, 64)]
+    for r in runs[1:]:
+        assert (r.loc[runs[0].index, "raw"] == runs[0]["raw"]).all()
+        assert (r.loc[runs[0].index, "anomalous"] == runs[0]["anomalous"]).all()
+
+
+def test_every_tree_gets_its_sample(spark):
+    for n, trees in ((40, 20), (700, 5), (20000, 20)):
+        s = ForestSettings(trees=trees, subsample=128)
+        df = spark.range(n).selectExpr("cast(id as double) a", "cast(id % 7 as double) b")
+        samples, size = tree_samples(df, n, s)
+        got = samples.groupBy("tree").count().collect()
+        assert len(got) == trees and {r["count"] for r in got} == {size} == {min(128, n)}
+        assert samples.select("tree", "a").distinct().count() == trees * size

@@ -15,14 +15,15 @@ def sample(n=5000):
     return pd.DataFrame({"x": hot, "y": rng.integers(0, 9, n).astype(float)})
 
 
-def test_quantiles_match_numpy_on_both_paths(spark):
+def test_quantiles_match_numpy_however_far_brackets_go(spark):
     data = sample()
     df = spark.createDataFrame(data).repartition(5)
     columns = {"x": F.col("x"), "y": F.col("y")}
-    for small_rows in (10**6, 0):
-        found = exact_quantiles(df, columns, PROBS, small_rows=small_rows)
-        for c in columns:
-            assert np.allclose(found[c], np.quantile(data[c], PROBS), rtol=1e-12), small_rows
+    found = [exact_quantiles(d, columns, PROBS, inside_rows=n)
+             for d, n in ((df, 10**6), (df, 100), (df, 1), (df.repartition(1), 30), (df.repartition(64), 30))]
+    for c in columns:
+        assert np.allclose(found[0][c], np.quantile(data[c], PROBS), rtol=1e-12)
+    assert all(f == found[0] for f in found)
 
 
 def test_quantiles_of_nothing(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import ForestSettings
 from plumbline.operators import reports
+from plumbline.operators.rules import Rule
 from plumbline.operators.standardize import Standardized, standardize
 from plumbline.plans.assess import AssessOptions, assess, overall_status, run_batch
 from plumbline.sources.readers import content_hashes, new_files
@@ -75,6 +76,55 @@ def test_two_batches_through_all_stages(spark, tmp_path):
     flagged = store.read("assessments", "B2").where("anomaly_status <> 'NORMAL'").count()
     assert store.read("context_bundles", "B2").count() == flagged > 0
     assert store.read("record_profiles", "B2").count() == 60
+    measures = {"age", "income", "working_hours"}
+    ranks = store.read("record_percentiles", "B2")
+    assert ranks.count() == 180 and {r[0] for r in ranks.select("variable").distinct().collect()} == measures
+    assert {f"{s}_dev_{m}" for s in ("enumerator", "cluster", "district") for m in measures} <= set(
+        store.read("record_deviations", "B2").columns)
+
+
+def only_age(limit):
+    return AssessOptions(rules=[Rule("AGE", "age", "less_than", limit)], use_forest=False)
+
+
+def test_a_run_without_evidence_and_an_empty_rerun(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    clean = spark.createDataFrame([(f"R{i}", 30) for i in range(40)], "record_id string, age bigint")
+    store.write_batch(Standardized(clean, clean.columns, dict(clean.dtypes)), "csv", "007")
+    stages = run_batch(store, "007", only_age(100))
+    assert overall_status(stages) == "PARTIAL" and stages["FUSION"] == "COMPLETED"
+    assert store.read("rule_violations", "007").isEmpty()
+    run_batch(store, "007", only_age(20), run_id=2)
+    assert store.read("rule_violations", "007").count() == 40
+    assert {r["anomaly_status"] for r in store.read("assessments", "007").collect()} == {"CONFIRMED"}
+    run_batch(store, "007", only_age(100), run_id=3)
+    assert store.read("rule_violations").isEmpty()
+    rows = store.read("assessments")
+    assert {(r["batch_id"], r["run_id"], r["anomaly_status"]) for r in rows.collect()} == {
+        ("007", 3, "NORMAL")}
+    assert rows.columns.count("batch_id") == 1
+
+
+def test_stages_that_raise(spark, tmp_path, monkeypatch):
+    from plumbline.plans import assess as plan
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.write_batch(batch(spark, 1), "csv", "B1")
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("no such luck")
+
+    monkeypatch.setattr(plan, "run_detectors", broken)
+    stages = run_batch(store, "B1", AssessOptions(use_forest=False))
+    assert (stages["INTELLIGENCE"], stages["FUSION"]) == ("UNAVAILABLE", "COMPLETED")
+    reasons = {r["stage"]: r["reason"] for r in store.read("stage_status", "B1").collect()}
+    assert reasons["INTELLIGENCE"] == "RuntimeError: no such luck" and reasons["RULES"] is None
+    assert store.read("quality_detections", "B1").isEmpty()
+    monkeypatch.setattr(plan, "run_forest", broken)
+    stages = run_batch(store, "B1", run_id=2)
+    assert list(stages.items())[-1] == ("ML", "FAILED") and overall_status(stages) == "FAILED"
+    last = store.read("stage_status", "B1").orderBy(F.desc("position")).first()
+    assert (last["stage"], last["status"], last["run_id"]) == ("ML", "FAILED", 2)
 
 
 def test_status_of_a_run():
@@ -130,6 +180,9 @@ def test_views_and_pages(spark):
     rows = spark.createDataFrame(
         [(f"R{i:03d}", ["LOW", "HIGH", "CRITICAL"][i % 3], float(i)) for i in range(300)],
         "record_id string, severity string, risk_score double")
-    first = reports.page(rows, 1, 500).collect()
+    first = reports.page(rows, 1, 200).collect()
     assert len(first) == 200 and first[0]["severity"] == "CRITICAL"
+    for number, size in ((1, 500), (1, 0), (0, 10)):
+        with pytest.raises(ValueError):
+            reports.page(rows, number, size)
     assert reports.page(rows, 2, 200).count() == 100
