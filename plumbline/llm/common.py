@@ -183,24 +183,29 @@ def ranked(df: DataFrame, order: list[Column], name: str = "_rank") -> DataFrame
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node that each linked node can reach.
 
-    Labels take the smallest of their neighbours', then the label of their label,
-    until nothing changes. Every round is stored; nothing but a count is collected.
+    Every node is merged into the smallest of its neighbours and itself; links are
+    drawn anew between the merged nodes, and those inside one are dropped, so the links
+    shrink from round to round until none is left. Rounds are stored; nothing but
+    whether a link is left is collected.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = written(both.union(both.select("v", "u")).distinct(), "links")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        near = (both.join(labels.withColumnsRenamed({"node": "v", "label": "l"}), "v")
-                .groupBy("u").agg(F.min("l").alias("near")).withColumnRenamed("u", "node"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = written(
-            labels.join(near, "node").join(far, "label")
-            .select("node", F.least("label", "near", "far").alias("new"),
-                    (F.least("label", "near", "far") != F.col("label")).alias("moved")), "labels")
-        labels = after.select("node", F.col("new").alias("label"))
-        if not after.where("moved").limit(1).count():
-            return labels
+    low, high = F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+    links = written(edges.select(low, high).where("u <> v").distinct(), "links")
+    labels = links.select(F.col("u").alias("node"), F.col("v").alias("label")).limit(0)
+    first = True
+    while links.limit(1).count():
+        both = links.union(links.select("v", "u"))
+        into = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            F.col("u").alias("node"), F.least("u", "m").alias("label")), "merged")
+        step = into.select(F.col("node").alias("at"), F.col("label").alias("to"))
+        labels = into if first else written(
+            labels.join(step, F.col("label") == F.col("at"), "left")
+            .select("node", F.coalesce("to", "label").alias("label")), "labels")
+        first = False
+        drawn = (links.join(step, F.col("u") == F.col("at")).select(F.col("to").alias("x"), "v")
+                 .join(step, F.col("v") == F.col("at")).select("x", F.col("to").alias("y")))
+        links = written(drawn.where("x <> y").select(
+            F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+    return labels
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
