@@ -24,7 +24,7 @@ from plumbline.operators.detectors.relationship import (
 )
 from plumbline.operators.detectors.run import run_detectors
 from plumbline.operators.detectors.shift import distribution_shift, prior_counts
-from plumbline.operators.detectors.temporal import temporal
+from plumbline.operators.detectors.temporal import period_steps, temporal
 from plumbline.operators.profile import TOP_VALUES
 
 
@@ -308,6 +308,18 @@ query("temporal_ewma_cusum", with_(SVD, PERIODS, """
   'ewma_cusum' AS baseline_type FROM walk WHERE cusum >= 0.15""")(_temporal("ewma_cusum"))
 
 
+query("temporal_steps_per_record", """
+ WITH e AS (SELECT concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', CAST(event_id AS VARCHAR)) AS period,
+   CAST(event_type = 'error' AS INT)::DOUBLE AS rate FROM events)
+ SELECT period, rate, lag(period) OVER w AS p_period, lag(rate) OVER w AS p_rate FROM e
+ WINDOW w AS (ORDER BY period)""")(
+    lambda spark, sf_dir: period_steps(spark.sql(
+        "SELECT concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', event_id) AS period, "
+        "CAST(1 AS BIGINT) AS n, CAST(CAST(event_type = 'error' AS INT) AS DOUBLE) AS rate "
+        "FROM {events}", events=table(spark, sf_dir, "events")), 1)
+    .select("period", "rate", "p_period", "p_rate"))
+
+
 # --- distribution shift -------------------------------------------------------
 
 def _shift_sql(top: bool) -> str:

@@ -14,10 +14,11 @@ from plumbline.catalog.views import (
     REFERENCES, SV, SVB, query, survey, survey_batch, table, with_,
 )
 from plumbline.operators import reports
+from plumbline.operators.rules import Rule
 from plumbline.operators.standardize import SchemaOptions, Standardized, standardize
 from plumbline.plans.assess import AssessOptions, run_batch
 from plumbline.plans.lookup import scratch_path
-from plumbline.sources.readers import ingest_csv, new_files
+from plumbline.sources.readers import ingest_csv, ingest_json, new_files
 from plumbline.sources.store import Store, write_report
 from plumbline.streaming.drops import watch_csv
 
@@ -44,6 +45,21 @@ def _csv(spark, sf_dir):
     return ingest_csv(spark, path, options).frame
 
 
+@query("ingest_json_extract", """
+ SELECT event_id, event_type AS type, CASE WHEN event_id % 5 <> 0 THEN user_id END AS person,
+  CASE WHEN event_id % 3 <> 0 THEN event_id % 40 + 0.25e0 END AS score,
+  CAST(event_id % 2 = 0 AS BIGINT) AS flag FROM events""")
+def _json(spark, sf_dir):
+    """Lines of JSON records, each cell as an extract may spell it."""
+    raw = spark.sql("""SELECT event_id AS `Event ID`, concat(' ', event_type, ' ') AS `Type`,
+      if(event_id % 5 = 0, ' n/a ', CAST(user_id AS STRING)) AS `User-Id`,
+      if(event_id % 3 = 0, '-', concat(CAST(event_id % 40 AS STRING), '.25')) AS `Score`,
+      event_id % 2 = 0 AS `Flag` FROM {events}""", events=table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "json_extract")
+    raw.write.json(path)
+    return ingest_json(spark, path, SchemaOptions(aliases={"user_id": "person"}), lines=True).frame
+
+
 @query("ingest_new_files", """
  SELECT count(*) AS files FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'view'
  """)
@@ -73,16 +89,69 @@ def _store(spark, sf_dir):
         "batch_id", "records", "column_count", "status", "incomes")
 
 
-@query("store_run", with_(SVB) + """
- SELECT batch_id, count(*) AS records FROM svb WHERE batch_id <> 'B3' GROUP BY batch_id""")
+_RUNS: dict[tuple[str, str], Store] = {}
+
+
+def _runs(spark, sf_dir) -> Store:
+    """Three batches through all stages, each with the earlier ones as history."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        store = Store(spark, scratch_path(spark, "runs"))
+        for b in ("B1", "B2", "B3"):
+            frame = survey_batch(spark, sf_dir, b)
+            store.write_batch(Standardized(frame, frame.columns, dict(frame.dtypes)), "csv", b)
+            run_batch(store, b, AssessOptions(references=REFERENCES, use_forest=False))
+        _RUNS[key] = store
+    return _RUNS[key]
+
+
+@query("store_run", with_(SVB) + """, s AS (SELECT * FROM (VALUES (0, 'INGESTION'), (1, 'PARQUET'),
+  (2, 'PROFILE'), (3, 'RULES'), (4, 'STATISTICS'), (5, 'INTELLIGENCE'), (6, 'ML'), (7, 'FUSION'),
+  (8, 'CONTEXT')) AS s(position, stage))
+ SELECT batch_id, count(*) AS records, stage, CASE stage WHEN 'ML' THEN 'UNAVAILABLE'
+  ELSE 'COMPLETED' END AS status FROM svb, s GROUP BY batch_id, stage""")
 def _run(spark, sf_dir):
-    """Two batches through all stages, the second with the first as history."""
-    store = Store(spark, scratch_path(spark, "runs"))
-    for b in ("B1", "B2"):
-        frame = survey_batch(spark, sf_dir, b)
-        store.write_batch(Standardized(frame, frame.columns, dict(frame.dtypes)), "csv", b)
-        run_batch(store, b, AssessOptions(references=REFERENCES, use_forest=False))
-    return store.read("assessments").groupBy("batch_id").agg(F.count(F.lit(1)).alias("records"))
+    store = _runs(spark, sf_dir)
+    sizes = store.read("assessments").groupBy("batch_id").agg(F.count(F.lit(1)).alias("records"))
+    return store.read("stage_status").join(sizes, "batch_id").select(
+        "batch_id", "records", "stage", "status")
+
+
+@query("store_run_violations", with_(SV, RULES) + " SELECT * FROM rv")
+def _run_violations(spark, sf_dir):
+    return _runs(spark, sf_dir).read("rule_violations").drop("rule_id", "run_id", "batch_id")
+
+
+@query("store_run_profiles", with_(SVB) + "".join(f"""
+ {'UNION ALL' if i else ''} SELECT batch_id, record_id, '{m}' AS variable,
+  round((rank() OVER (PARTITION BY batch_id ORDER BY {m})
+   + (count(*) OVER (PARTITION BY batch_id, {m}) - 1) / 2.0) / count(*) OVER (PARTITION BY batch_id), 6)
+   AS percentile,
+  round(({m} - avg({m}) OVER (PARTITION BY batch_id)) / stddev_pop({m}) OVER (PARTITION BY batch_id), 6)
+   AS z FROM svb WHERE {m} IS NOT NULL""" for i, m in enumerate(("age", "income"))))
+def _run_profiles(spark, sf_dir):
+    store = _runs(spark, sf_dir)
+    z = store.read("record_profiles").select("batch_id", "record_id", F.explode(F.map_from_arrays(
+        F.array(F.lit("age"), F.lit("income")), F.array("z_age", "z_income"))).alias("variable", "z"))
+    ranks = store.read("record_percentiles").select("batch_id", "record_id", "variable", "percentile")
+    return ranks.join(z, ["batch_id", "record_id", "variable"]).select(
+        "batch_id", "record_id", "variable", F.round("percentile", 6).alias("percentile"),
+        F.round("z", 6).alias("z"))
+
+
+@query("store_rerun", with_(SV) + """
+ SELECT record_id, 2 AS run_id, 'NORMAL' AS anomaly_status FROM sv""")
+def _rerun(spark, sf_dir):
+    """A second run that finds nothing leaves nothing of the first."""
+    store = Store(spark, scratch_path(spark, "reruns"))
+    frame = survey(spark, sf_dir).select("record_id")
+    store.write_batch(Standardized(frame, frame.columns, dict(frame.dtypes)), "csv", "B1")
+    broken = [Rule("ID", "record_id", "is_blank", severity="CRITICAL")]
+    for run_id, rules in ((1, broken), (2, [Rule("ID", "record_id", "is_not_blank")])):
+        run_batch(store, "B1", AssessOptions(rules=rules, use_forest=False), run_id)
+    lost = store.read("rule_violations").count()
+    return store.read("assessments").where(F.lit(lost) == 0).select(
+        "record_id", F.col("run_id").cast("int").alias("run_id"), "anomaly_status")
 
 
 @query("report_file", with_(SV) + " SELECT count(*) AS rows, 4 AS preamble FROM sv")

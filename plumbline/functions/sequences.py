@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.plans.lookup import null_safe_join
+
 
 def neighbours(
     df: DataFrame, keys: list[str], block: str, order: list[str],
@@ -29,7 +31,8 @@ def neighbours(
     edge = F.struct(*[F.col(o) for o in order], payload.alias("_pay"))
     edges = df.groupBy(*keys, block).agg((F.max(edge) if step < 0 else F.min(edge)).alias("_e"))
     edges = edges.select(*keys, block, shift(F.col("_e._pay")).over(outer).alias("_far"))
-    joined = df.withColumn("_near", shift(payload).over(inner)).join(edges, [*keys, block])
+    joined = df.withColumn("_near", shift(payload).over(inner))
+    joined = null_safe_join(joined, edges, [*keys, block])
     at_edge = F.row_number().over(inner) == 1 if step < 0 else None
     if at_edge is None:
         backward = Window.partitionBy(*keys, block).orderBy(*[F.desc(o) for o in order])
@@ -50,5 +53,5 @@ def running_sum(
     totals = df.groupBy(*keys, block).agg(F.sum(value).alias("_t")).select(
         *keys, block, F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_before"))
     summed = df.withColumn("_inner", F.sum(value).over(inner))
-    return summed.join(totals, [*keys, block]).select(
+    return null_safe_join(summed, totals, [*keys, block]).select(
         *df.columns, (F.col("_inner") + F.col("_before")).alias(name))

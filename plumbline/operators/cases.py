@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.config import CASE_ACTIONS, CASE_PRIORITIES, CASE_RESOLVED, CASE_STATUSES
 from plumbline.functions.scoring import pick
 from plumbline.functions.sequences import neighbours
-from plumbline.plans.lookup import lookup_join, materialize
+from plumbline.plans.lookup import lookup_join, materialize, null_safe_join
 
 CASE = ["batch_id", "record_id"]
 
@@ -121,8 +121,8 @@ def audit_trail(log: DataFrame) -> DataFrame:
                            F.col("_set").alias("new_status"))
     quiet = entries.where(F.col("_set").isNull())
     if quiet.isEmpty():
-        return entries.select(*CASE, *order, "user", "action", "note").join(
-            changed, [*CASE, *order])
+        return null_safe_join(entries.select(*CASE, *order, "user", "action", "note"), changed,
+                              [*CASE, *order])
     # An entry that sets nothing keeps the status set last before it.
     marks = statuses.select(*CASE, "_day", *order, F.col("_set").alias("_s")).unionByName(
         quiet.select(*CASE, "_day", *order, F.lit(None).cast("string").alias("_s")))
@@ -130,8 +130,8 @@ def audit_trail(log: DataFrame) -> DataFrame:
     rest = kept.where(F.col("_s").isNull()).select(
         *CASE, *order, F.col("_carried").alias("previous_status"),
         F.col("_carried").alias("new_status"))
-    return entries.select(*CASE, *order, "user", "action", "note").join(
-        changed.unionByName(rest), [*CASE, *order])
+    return null_safe_join(entries.select(*CASE, *order, "user", "action", "note"),
+                          changed.unionByName(rest), [*CASE, *order])
 
 
 def carried(df: DataFrame, keys: list[str], block: str, order: list[str], value: str) -> DataFrame:
@@ -145,7 +145,8 @@ def carried(df: DataFrame, keys: list[str], block: str, order: list[str], value:
         F.max(F.when(F.col(value).isNotNull(), F.struct(*order, value))).getField(value)
         .alias("_last"))
     lasts = lasts.select(*keys, block, F.last("_last", True).over(outer).alias("_before"))
-    near = df.withColumn("_near", F.last(value, True).over(inner)).join(lasts, [*keys, block])
+    near = null_safe_join(df.withColumn("_near", F.last(value, True).over(inner)), lasts,
+                          [*keys, block])
     return near.select(*df.columns, F.coalesce("_near", "_before").alias("_carried"))
 
 

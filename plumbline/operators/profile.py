@@ -20,7 +20,7 @@ from plumbline.operators.roles import (
     Roles, concept, detect_roles, id_columns, role_text, row_order,
 )
 from plumbline.operators.standardize import unpivot_measures
-from plumbline.plans.lookup import lookup_join, materialize
+from plumbline.plans.lookup import empty_frame, lookup_join, materialize
 
 TOP_VALUES = 10
 
@@ -189,7 +189,10 @@ def variable_profiles(df: DataFrame, approx: bool = False) -> DataFrame:
         parts.append(numeric_profiles(df, numeric, approx))
     if text:
         parts.append(categorical_profiles(df, text))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # A table without numbers has these columns too.
+    return out.withColumns({c: F.lit(None).cast("double") for c in ("mean", "standard_deviation")
+                            if c not in out.columns})
 
 
 def scope_rows(df: DataFrame, roles: Roles, columns: list) -> DataFrame:
@@ -197,7 +200,7 @@ def scope_rows(df: DataFrame, roles: Roles, columns: list) -> DataFrame:
     scopes = F.array(*[
         F.struct(F.lit(s).alias("scope"), role_text(df, roles, f"{s}_id").alias("group_id"))
         for s in roles.scopes
-    ])
+    ]).cast("array<struct<scope:string,group_id:string>>")
     return df.select(F.explode(scopes).alias("_s"), *columns).select(
         "_s.scope", "_s.group_id", *[F.col(c) for c in _names(df, columns)]
     )
@@ -267,6 +270,8 @@ def group_distributions(df: DataFrame, top: int = TOP_VALUES) -> DataFrame:
 
 def measure_moments(df: DataFrame, measures: list[str]) -> dict[str, tuple]:
     """{measure: (n, mean, population std)}, one row to the driver."""
+    if not measures:
+        return {}
     row = df.agg(*[
         F.struct(F.count(m).alias("n"), F.avg(m).alias("mean"),
                  F.stddev_pop(m).alias("std")).alias(f"m{i}")
@@ -303,6 +308,9 @@ def record_zscores(df: DataFrame) -> DataFrame:
 def record_percentiles(df: DataFrame) -> DataFrame:
     """(record_id, variable, value, percentile): average rank of ties over n."""
     roles = detect_roles(df)
+    if not roles.numeric_measures:
+        return empty_frame(df.sparkSession, "record_id string, variable string, value double, "
+                                            "percentile double")
     long = unpivot_measures(
         df, [role_text(df, roles, "record_id")], list(roles.numeric_measures)
     ).where(F.col("value").isNotNull())

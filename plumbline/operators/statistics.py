@@ -219,6 +219,8 @@ def record_evidence(
 def batch_baselines(df: DataFrame, measures: list[str] | None = None) -> DataFrame:
     """(variable, mean, std): what later batches compare themselves with."""
     measures = eligible_measures(detect_roles(df)) if measures is None else measures
+    if not measures:
+        return empty_frame(df.sparkSession, "variable string, mean double, std double")
     rows = df.agg(*[
         F.struct(F.lit(m).alias("variable"), F.avg(field_number(df, m)).alias("mean"),
                  F.stddev_samp(field_number(df, m)).alias("std")).alias(f"_{i}")

@@ -79,6 +79,13 @@ def lookup_join(
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key; the keys come from ``left``."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def empty_frame(spark: SparkSession, ddl: str) -> DataFrame:
     """No rows of the given shape; the optimizer drops it from any union."""
     return spark.range(1).where(F.lit(False)).select(*[

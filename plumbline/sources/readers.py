@@ -32,9 +32,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[_known_null(c) for c in raw.columns])
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, or an object with a ``records`` list; cells as text."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+def read_json_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A list of records, or an object with a ``records`` list; cells as text.
+
+    With ``lines`` each line is a record, and a large file is read by many tasks.
+    """
+    raw = (spark.read.option("multiLine", not lines).option("primitivesAsString", True)
+           .json(path))
     if "records" in raw.columns:
         kind = raw.schema["records"].dataType
         if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
@@ -52,9 +56,9 @@ def ingest_csv(spark: SparkSession, path: str, options: SchemaOptions = SchemaOp
     return standardize(read_csv(spark, path), options)
 
 
-def ingest_json(spark: SparkSession, path: str, options: SchemaOptions = SchemaOptions()
-                ) -> Standardized:
-    return standardize(read_json_records(spark, path), options)
+def ingest_json(spark: SparkSession, path: str, options: SchemaOptions = SchemaOptions(),
+                lines: bool = False) -> Standardized:
+    return standardize(read_json_records(spark, path, lines), options)
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -116,6 +116,17 @@ def test_audit_trail(spark):
     assert quiet.count() == 6
 
 
+def test_entries_without_keys_or_times_stay_in_the_trail(spark):
+    full = log(spark)
+    odd = full.where("action_id in (1, 2, 3)").selectExpr(*[
+        "cast(null as string) AS record_id" if c == "record_id" else
+        "if(action_id = 2, null, ts) AS ts" if c == "ts" else
+        "action_id + 100 AS action_id" if c == "action_id" else c for c in full.columns])
+    trail = cases.audit_trail(full.unionByName(odd.select(
+        *[odd[c].cast(full.schema[c].dataType).alias(c) for c in full.columns])))
+    assert {r["action_id"] for r in trail.collect()} == {1, 2, 3, 4, 5, 6, 7, 101, 102, 103}
+
+
 def small_survey(people):
     rows = [(f"R{i:02d}", f"E{i % 2}", "C1", "D1", 30 + i % 5, 100.0 * (i % 7),
              "employed" if i % 3 else "unemployed", 40) for i in range(40)]

@@ -84,7 +84,7 @@ def test_two_batches_through_all_stages(spark, tmp_path):
 
 
 def only_age(limit):
-    return AssessOptions(rules=[Rule("AGE", "age", "less_than", limit)], use_forest=False)
+    return AssessOptions(rules=[Rule("AGE_MAX", "age", "less_than", limit, severity="CRITICAL")], use_forest=False)
 
 
 def test_a_run_without_evidence_and_an_empty_rerun(spark, tmp_path):
