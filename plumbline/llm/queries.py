@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, warc,
+    exact, language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, warc,
 )
 from plumbline.plans.session import prepare
 
@@ -105,3 +105,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_warc_archive")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+_EXACT = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM d JOIN g USING (t)"""
+
+
+@query("op13_exact_dedup", _EXACT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("chain")
