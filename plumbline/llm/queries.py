@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact, language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, warc,
+    exact, language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, trie, warc,
 )
 from plumbline.plans.session import prepare
 
@@ -118,3 +118,35 @@ FROM d JOIN g USING (t)"""
 @query("op13_exact_dedup", _EXACT)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("chain")
+
+
+_TRIE = r"""
+WITH t AS (SELECT conv_id, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(strlen(r)::VARCHAR || ':' || r || x)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda b: unicode(b)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+    lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS crc FROM (SELECT DISTINCT conv_id FROM t)),
+h AS (SELECT conv_id, xor(crc, 4294967295) % 4 AS h FROM c),
+s AS (SELECT h.conv_id, 0 AS part, i, r, x FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND i <= h
+  UNION ALL SELECT h.conv_id, 1, i, r, x FROM h JOIN t ON t.conv_id = h.conv_id AND i > h),
+p AS (SELECT h.conv_id, coalesce(list(struct_pack(r := r, x := x) ORDER BY part, i) FILTER (r IS NOT NULL), []) AS path
+  FROM h LEFT JOIN s USING (conv_id) GROUP BY h.conv_id),
+e AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM p),
+n AS (SELECT path[1:d] AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '')) AS ends,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(path[1:d][d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM e GROUP BY ALL),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+u AS (SELECT node[1:j] AS node, sum(n_children = 0) AS leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM m) GROUP BY 1)
+SELECT m.conv_id, m.d::BIGINT AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+  u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN u USING (node) LEFT JOIN m AS a ON m.d > 0 AND a.node = m.node[1:m.d - 1]"""
+
+
+@query("op12_conversation_trie", _TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
