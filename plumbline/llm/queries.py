@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact, language, lz, mixing, near_dup, neighbours, packing, passages, quality, toxicity, trie, warc,
+    exact, language, lz, mixing, near_dup, neighbours, packing, passages, phrases, quality,
+    toxicity, trie, warc,
 )
 from plumbline.plans.session import prepare
 
@@ -55,10 +56,12 @@ c AS (SELECT d.*, b.s, b.target, b.times, b.rest,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING
           AND 1 PRECEDING), 0)::BIGINT AS before,
         (sum(size) OVER (PARTITION BY d.source, h))::BIGINT AS tied
-      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, s AS source_size, target, times * size + CASE
-    WHEN before + tied <= rest THEN size WHEN before > rest OR tied = 0 THEN 0
-    ELSE (rest - before) * size // tied END AS taken FROM c"""
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+p AS (SELECT *, (CASE WHEN before + tied <= rest THEN size WHEN before > rest OR tied = 0 THEN 0
+        ELSE (rest - before) * size // tied END)::BIGINT AS part FROM c)
+SELECT doc_id, source, size, s AS source_size, target, times * size + part AS taken,
+  (times + CASE WHEN part >= size AND size > 0 THEN 1 ELSE 0 END)::INTEGER AS copies,
+  CASE WHEN part >= size THEN 0 ELSE part END AS part_words FROM p"""
 
 
 @query("op5_source_mixing", _MIX)
@@ -150,3 +153,28 @@ FROM m JOIN u USING (node) LEFT JOIN m AS a ON m.d > 0 AND a.node = m.node[1:m.d
 @query("op12_conversation_trie", _TRIE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 5) AS s(m) WHERE len(w) >= m),
+f AS (SELECT lang, w[i:i + m - 1] AS ph, count(*) AS c FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(ph) = 1 GROUP BY lang),
+c AS (SELECT lang, ph, c AS a FROM f WHERE len(ph) > 1 AND c >= 30),
+s AS (SELECT lang, ph[i:i + m - 1] AS ph, max(a) AS longer FROM (SELECT lang, ph, a, m, unnest(range(1, len(ph) - m + 2)) AS i
+    FROM c, range(2, 4) AS s(m) WHERE len(ph) > m) GROUP BY ALL),
+k AS (SELECT c.lang, c.ph, c.a, unnest(range(1, len(c.ph))) AS k FROM c LEFT JOIN s USING (lang, ph)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+v AS (SELECT k.*, x.c AS l, y.c AS r, ((2000000::HUGEINT * a) // (x.c + y.c))::BIGINT AS score
+  FROM k JOIN f AS x ON x.lang = k.lang AND x.ph = k.ph[1:k] JOIN f AS y ON y.lang = k.lang AND y.ph = k.ph[k + 1:]),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+w AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM b),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM w)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrase_collocations", _PHRASES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -26,13 +26,13 @@ def rows_of(sizes):
 ])
 def test_equals_the_sorted_version(spark, sizes):
     rows = rows_of(sizes)
-    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in
-           mixing.mix(table(spark, rows)).collect()}
+    names = ("size", "source_size", "target", "taken", "copies", "part_words")
+    got = {r.doc_id: tuple(r[n] for n in names) for r in mixing.mix(table(spark, rows)).collect()}
     base = duckdb.connect()
     documents = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).toPandas()  # noqa: F841
     base.sql("CREATE TABLE documents AS SELECT * FROM documents")
     sql = next(v for k, v in SQL.items() if k.startswith("op5_"))
-    assert got == {d: (a, b, c, e) for d, a, b, c, e in base.sql(sql).fetchall()}
+    assert got == {d: tuple(v) for d, *v in base.sql(f"SELECT doc_id, {', '.join(names)} FROM ({sql})").fetchall()}
     taken, target = defaultdict(int), {}
     for d, _, _, source in rows:
         taken[source] += got[d][3]
