@@ -11,6 +11,7 @@ which sequence and offset a rank has.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -28,19 +29,31 @@ from plumbline.plans.workers import ship
 
 ship(__name__)
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 0
 DEALS = 256
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks are in ``path``; one per process."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Texts that the vocabulary file adds to the merges; each is one id wherever it stands."""
+    added = json.loads(Path(vocabulary).read_text(encoding="utf-8"))["added_tokens"]
+    texts = [t["content"] for t in added]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added) or any(
+            a != b and a.startswith(b) for a in texts for b in texts):
+        raise ValueError("added tokens that take blanks with them or begin with each other are not known here")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder(path: str, vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
+    """The byte-level BPE whose ranks are in ``path``, with the added tokens of
+    ``vocabulary``; one per process. Encode with ``allowed_special="all"``."""
     if path not in _ENCODERS:
         lines = Path(path).read_bytes().split(b"\n")
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
-                                            mergeable_ranks=ranks, special_tokens={})
+                                            mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary))
     return _ENCODERS[path]
 
 
@@ -54,7 +67,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, ranks: str = RANKS) -> DataFra
         code = encoder(ranks)
         out = {n: [] for n in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens")}
         for doc_id, row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            ids = np.array([*code.encode_ordinary(text or ""), END], dtype="<u4")
+            ids = np.array([*code.encode(text or "", allowed_special="all"), END], dtype="<u4")
             for start in range(0, len(ids), length):
                 part = ids[start:start + length]
                 for n, v in zip(out, (doc_id, row, start, len(part), zlib.crc32(part.tobytes()),

@@ -69,3 +69,14 @@ def test_histogram_packs_hold_all_lengths():
         assert seen == counts
         if counts:
             assert sum(n for _, n in packs) <= 1.25 * sum(k * v for k, v in counts.items()) / 64 + 1
+
+
+def test_added_tokens_are_one_id_wherever_they_stand(spark):
+    """As the vocabulary file has it: at the start, middle and end, doubled, and cut by a letter."""
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark} x", f"x{mark}", f"é{mark}{mark}中", f"<|endof text|> {mark[:-1]}",
+             f"<|endoftexto|>{mark}1", f"  {mark}\n\n{mark}  "]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = packing.pack(table(spark, rows)).collect()
+    check(got, dict(enumerate(texts)), 1024)
+    assert packing.added_tokens(packing.VOCABULARY) == {mark: 50256}
