@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import HOT_SALTS, HOT_SHARE, hot_join, need, written
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 1 << 20
 # 2 ** MAX_DEPTH slots at most: the directory that is broadcast stays below 32 MB.
-MAX_DEPTH = 20
+MAX_DEPTH = 19
 
 
 def folded(text: Column) -> Column:
