@@ -24,7 +24,8 @@ from plumbline.operators.detectors.relationship import (
 )
 from plumbline.operators.detectors.run import run_detectors
 from plumbline.operators.detectors.shift import distribution_shift, prior_counts
-from plumbline.operators.detectors.temporal import period_steps, temporal
+from plumbline.operators.detectors.drift import in_order, period_drift, period_steps
+from plumbline.operators.detectors.temporal import temporal
 from plumbline.operators.profile import TOP_VALUES
 
 
@@ -313,13 +314,36 @@ query("temporal_steps_per_record", """
    CAST(event_type = 'error' AS INT)::DOUBLE AS rate FROM events)
  SELECT period, rate, lag(period) OVER w AS p_period, lag(rate) OVER w AS p_rate FROM e
  WINDOW w AS (ORDER BY period)""")(
-    lambda spark, sf_dir: period_steps(spark.sql(
+    lambda spark, sf_dir: period_steps(in_order(spark.sql(
         "SELECT concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', event_id) AS period, "
         "CAST(1 AS BIGINT) AS n, CAST(CAST(event_type = 'error' AS INT) AS DOUBLE) AS rate "
-        "FROM {events}", events=table(spark, sf_dir, "events")), 1)
+        "FROM {events}", events=table(spark, sf_dir, "events"))))
     .select("period", "rate", "p_period", "p_rate"))
 
 
+# One period per event, in blocks of 512: every state but the first comes through summaries.
+query("temporal_drift_per_record", """
+ WITH RECURSIVE use AS MATERIALIZED (
+  SELECT concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', CAST(event_id AS VARCHAR)) AS period,
+   least(value, 60.0) / 200.0 AS rate, row_number() OVER (ORDER BY period) AS k
+  FROM events WHERE event_type <> 'view'),
+ walk AS (
+  SELECT k, period, rate, rate AS ewma, CAST(0.0 AS DOUBLE) AS carry,
+   CAST(0.0 AS DOUBLE) AS cusum FROM use WHERE k = 1
+  UNION ALL
+  SELECT k, period, rate, ewma, CASE WHEN cusum >= 0.15 THEN 0.0 ELSE cusum END, cusum FROM (
+   SELECT u.k, u.period, u.rate, 0.4 * u.rate + 0.6 * w.ewma AS ewma,
+    greatest(0.0, w.carry + u.rate - (0.4 * u.rate + 0.6 * w.ewma)) AS cusum
+   FROM walk w JOIN use u ON u.k = w.k + 1))
+ SELECT period, round(rate, 6) AS rate, round(ewma, 6) AS ewma, round(cusum, 6) AS cusum
+ FROM walk WHERE cusum >= 0.15""")(
+    lambda spark, sf_dir: period_drift(in_order(spark.sql(
+        "SELECT concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', event_id) AS period, "
+        "CAST(event_type <> 'view' AS BIGINT) AS n, least(value, 60.0) / 200.0 AS rate "
+        "FROM {events}", events=table(spark, sf_dir, "events")), 512), 1)
+    .select("period", *[F.round(c, 6).alias(c) for c in ("rate", "ewma", "cusum")]))
+
+
 # --- distribution shift -------------------------------------------------------
 
 def _shift_sql(top: bool) -> str:

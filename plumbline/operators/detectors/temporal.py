@@ -1,14 +1,10 @@
 """Unemployment over survey periods, in text order of the period.
 
-Records are first aggregated to one row per period; what needs an order walks the
-sorted ranges of that table.
+Records are first aggregated to one row per period; what needs an order is in ``drift``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +13,8 @@ from plumbline.functions.answers import unemployed
 from plumbline.operators.detectors.common import (
     Outcome, Survey, detection_fields, evidence_map, no_detections, seq,
 )
-from plumbline.plans.lookup import empty_frame, materialize, scratch_path
-from plumbline.plans.workers import ship
-
-ship(__name__)
+from plumbline.operators.detectors.drift import in_order, period_drift, period_steps
+from plumbline.plans.lookup import materialize
 
 DISABLED = "TEMPORAL_CHANGE disabled"
 NO_PERIOD = "No previous survey period available"
@@ -28,8 +22,6 @@ NO_STATUS = "No employment field for temporal rates"
 TOO_FEW = "INSUFFICIENT HISTORICAL DATA — fewer than two periods"
 CHANGE_HIGH = 0.12
 Z_LIMIT = 2.5
-ALPHA = 0.4
-SIGNAL = 0.15
 
 
 def period_rates(s: Survey) -> DataFrame:
@@ -41,70 +33,6 @@ def period_rates(s: Survey) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("_u").alias("rate"))
 
 
-STEPS = ("period string, n bigint, rate double, p_period string, p_n bigint, p_rate double, "
-         "ewma double, cusum double")
-
-
-def period_steps(periods: DataFrame, minimum: float) -> DataFrame:
-    """Every period with the one before it, and the running mean and drift sum where
-    the drift sum reaches the signal (null elsewhere); stored.
-
-    Periods are sorted by ranges and stored. The drift sum starts again after each
-    signal, so the ranges are walked in turn: each is one task that streams its rows
-    and hands a state of six numbers to the next. Only periods of ``minimum`` records
-    and more move the mean and the sum.
-    """
-    spark = periods.sparkSession
-    place = F.monotonically_increasing_id()
-    folder = scratch_path(spark, "periods")
-    (periods.orderBy("period").select("period", "n", "rate", place.alias("place"))
-     .withColumn("range", F.shiftright("place", 33)).write.parquet(folder))
-    ordered = spark.read.parquet(folder)
-    ranges = sorted(r[0] for r in ordered.select("range").distinct().collect())
-    out, state = scratch_path(spark, "period_steps"), (None, None, None, None, 0.0)
-    if not ranges:
-        return empty_frame(spark, STEPS)
-    for r in ranges:
-        part = ordered.where(F.col("range") == r).repartition(1).sortWithinPartitions("place")
-        steps = part.select("period", "n", "rate").mapInPandas(
-            _walk(state, minimum), STEPS + ", end array<string>")
-        steps.write.mode("append").parquet(f"{out}/range={r}")
-        last = spark.read.parquet(f"{out}/range={r}").where("end is not null").select("end").first()
-        texts = last["end"]
-        state = (texts[0], int(texts[1]), *[None if t is None else float(t) for t in texts[2:]])
-    return spark.read.parquet(out).where("end is null").drop("end", "range")
-
-
-def _walk(state: tuple, minimum: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p_period, p_n, p_rate, smooth, drift = state
-        for batch in batches:
-            rows = []
-            for period, n, rate in zip(batch["period"], batch["n"], batch["rate"], strict=True):
-                rate = None if pd.isna(rate) else rate
-                signal = (None, None)
-                if n >= minimum and rate is not None:
-                    smooth = rate if smooth is None else ALPHA * rate + (1 - ALPHA) * smooth
-                    drift = max(0.0, drift + rate - smooth)
-                    if drift >= SIGNAL:
-                        signal, drift = (smooth, drift), 0.0
-                rows.append((period, n, rate, p_period, p_n, p_rate, *signal, None))
-                p_period, p_n, p_rate = period, n, rate
-            yield _frame(rows)
-        end = [p_period, str(p_n), *[None if x is None else repr(float(x))
-                                     for x in (p_rate, smooth, drift)]]
-        yield _frame([(None,) * 8 + (end,)])
-
-    return run
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["period", "n", "rate", "p_period", "p_n", "p_rate", "ewma",
-                                      "cusum", "end"])
-    return out.astype({"n": "Int64", "p_n": "Int64"} | {
-        c: "float64" for c in ("rate", "p_rate", "ewma", "cusum")})
-
-
 def temporal(s: Survey) -> Outcome:
     if not detector_enabled(s.configs, "TEMPORAL_CHANGE"):
         return Outcome(False, reason=DISABLED)
@@ -131,7 +59,8 @@ def temporal(s: Survey) -> Outcome:
             expected_value=expected, deviation=deviation, baseline_type=F.lit(kind),
             evidence=extra, seq=seq(2, 0, F.col("period"), number))
 
-    steps = period_steps(table, minimum)
+    ordered = in_order(table)
+    steps = period_steps(ordered)
     change = F.col("rate") - F.col("p_rate")
     changed = steps.where(
         usable & (F.col("p_n") >= minimum) & (F.abs(change) >= gap)
@@ -147,7 +76,7 @@ def temporal(s: Survey) -> Outcome:
         off = table.where(usable & (F.abs(z) >= Z_LIMIT)).select(*fields(
             "TEMPORAL_BASELINE", 1, F.col("rate"), F.lit(mean), F.col("rate") - F.lit(mean),
             "rolling_mean", F.lit("MEDIUM"), evidence_map(robust_z_score=z)))
-    drift = steps.where(F.col("cusum").isNotNull()).select(*fields(
+    drift = period_drift(ordered, minimum).select(*fields(
         "TEMPORAL_CUSUM", 2, F.col("rate"), F.col("ewma"), F.col("cusum"), "ewma_cusum",
         F.lit("MEDIUM"), evidence_map(cusum=F.col("cusum"), ewma=F.col("ewma"))))
     return Outcome(True, changed.unionByName(off).unionByName(drift))

@@ -1,7 +1,9 @@
+import types as types_
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import DETECTORS
@@ -15,7 +17,8 @@ from plumbline.operators.detectors.run import filter_detections, run_detectors
 from plumbline.operators.detectors.shift import (
     distribution_shift, prior_counts, stability_index,
 )
-from plumbline.operators.detectors.temporal import period_steps, temporal
+from plumbline.operators.detectors.drift import SIGNAL, Drift, in_order, period_drift, period_steps, through
+from plumbline.operators.detectors.temporal import temporal
 
 
 def types(outcome):
@@ -146,33 +149,67 @@ def test_temporal(spark):
     assert not temporal(Survey.of(df.drop("survey_round"))).available
 
 
-def test_steps_are_those_of_one_walk_over_all_periods(spark):
-    rng = np.random.default_rng(5)
-    rates = np.clip(np.linspace(0, 1, 60) + rng.normal(0, .1, 60), 0, 1)
-    rows = [(f"p{i:03d}", 20 if i % 7 else 3, float(r)) for i, r in enumerate(rates)]
-    smooth, drift, before, want = None, 0.0, (None, None, None), []
+def walked(rows, minimum):
+    """Previous period and signals of one walk over all periods."""
+    smooth, drift, before, steps, signals = None, 0.0, (None, None, None), [], []
     for period, n, rate in rows:
-        signal = (None, None)
-        if n >= 8:
+        if n >= minimum and rate is not None:
             smooth = rate if smooth is None else 0.4 * rate + 0.6 * smooth
             drift = max(0.0, drift + rate - smooth)
-            if drift >= 0.15:
-                signal, drift = (smooth, drift), 0.0
-        want.append((period, n, rate, *before, *signal))
+            if drift >= SIGNAL:
+                signals.append((period, rate, smooth, drift))
+                drift = 0.0
+        steps.append((period, n, rate, *before))
         before = (period, n, rate)
-    frame = spark.createDataFrame(rows, "period string, n bigint, rate double")
+    return steps, signals
+
+
+@pytest.mark.parametrize("shape", ["rising", "noise", "flat", "jumps"])
+@pytest.mark.parametrize("block", [1, 7, 64, 100000])
+def test_drift_is_that_of_one_walk_over_all_periods(spark, shape, block):
+    rng = np.random.default_rng(5)
+    rates = {"rising": np.linspace(0, 1, 300) + rng.normal(0, .1, 300), "noise": 0.5 + rng.normal(0, .04, 300),
+             "flat": np.full(300, 0.3), "jumps": np.repeat(rng.random(20), 15) + rng.normal(0, .01, 300)}[shape]
+    rows = [(f"p{i:04d}", 20 if i % 7 else 3, None if i % 41 == 5 else float(r)) for i, r in enumerate(rates)]
+    rows = [(p, 1, r) if 100 < i < 140 else (p, n, r) for i, (p, n, r) in enumerate(rows)]
+    steps, signals = walked(rows, 8)
+    frame = spark.createDataFrame(rows, "period string, n bigint, rate double").repartition(5)
     kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     try:
         for coalesce in ("true", "false"):  # one range, and one per shuffle partition
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
-            got = sorted(tuple(r) for r in period_steps(frame.repartition(5), 8).collect())
-            assert [g[:6] for g in got] == [w[:6] for w in want]
-            assert [g[6] is None for g in got] == [w[6] is None for w in want]
-            assert np.allclose([g[6:] for g in got if g[6]], [w[6:] for w in want if w[6]])
+            ordered = in_order(frame, block)
+            got = sorted(tuple(r) for r in period_drift(ordered, 8).collect())
+            assert [g[0] for g in got] == [w[0] for w in signals]
+            assert np.allclose([g[1:] for g in got], [w[1:] for w in signals], rtol=0, atol=1e-12) or not got
+            assert sorted(tuple(r) for r in period_steps(ordered).collect()) == steps
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
-    assert sum(w[6] is not None for w in want) > 2
-    assert not period_steps(frame.limit(0), 8).collect()
+
+
+def test_no_periods_have_no_steps(spark):
+    ordered = in_order(spark.createDataFrame([], "period string, n bigint, rate double"))
+    assert not period_steps(ordered).collect() and not period_drift(ordered, 8).collect()
+
+
+def test_block_map_of_the_drift_is_the_walk_from_every_sum():
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        rates = rng.random() + rng.normal(0, rng.choice([.005, .03, .2]), rng.integers(1, 60))
+        start = None if trial % 5 == 0 else float(rng.random())
+        block = Drift(start)
+        for r in rates:
+            block.add("p", float(r))
+        (row,) = block.rows(0, True)
+        pieces = types_.SimpleNamespace(lo=row[1], hi=row[2], value=row[3], moves=row[4])
+        assert len(row[1]) <= len(rates) + 3 and row[1][1:] == row[2][:-1]
+        for drift in [0.0, *rng.random(30) * SIGNAL]:
+            smooth, d = start, drift
+            for r in rates:
+                smooth = float(r) if smooth is None else 0.4 * float(r) + 0.6 * smooth
+                d = max(0.0, d + float(r) - smooth)
+                d = 0.0 if d >= SIGNAL else d
+            assert np.isclose(through(pieces, drift), d, rtol=0, atol=1e-12)
 
 
 def test_distribution_shift(spark):
