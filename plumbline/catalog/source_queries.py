@@ -7,6 +7,7 @@ folder, then reads it back through the source under test.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.catalog.fusion_queries import stored_assessments
 from plumbline.catalog.rule_queries import RULES
@@ -60,8 +61,28 @@ def _json(spark, sf_dir):
     return ingest_json(spark, path, SchemaOptions(aliases={"user_id": "person"}), lines=True).frame
 
 
+@query("ingest_json_list", """
+ SELECT event_id, event_type AS type, CASE WHEN event_id % 5 <> 0 THEN user_id END AS person,
+  CASE WHEN event_id % 3 <> 0 THEN event_id % 40 + 0.25e0 END AS score,
+  CASE WHEN event_id % 4 = 0 THEN '}], "[{' || event_id WHEN event_id % 4 = 1 THEN 'a\\"}' ELSE props END AS note
+ FROM events""")
+def _json_list(spark, sf_dir):
+    """Files that are each one list of up to 4096 records, read in splits of 64 KB."""
+    records = spark.sql("""SELECT event_id div 4096 AS file, struct(event_id AS `Event ID`,
+      concat(' ', event_type, ' ') AS `Type`, if(event_id % 5 = 0, ' n/a ', CAST(user_id AS STRING)) AS `User-Id`,
+      if(event_id % 3 = 0, '-', concat(CAST(event_id % 40 AS STRING), '.25')) AS `Score`,
+      CASE event_id % 4 WHEN 0 THEN concat('}], "[{', event_id) WHEN 1 THEN 'a\\\\"}' ELSE props END AS `Note`) AS r
+      FROM {events}""", events=table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "json_lists")
+    whole = F.array_join(F.collect_list(F.to_json("r")), ",\n")
+    (records.groupBy("file").agg(F.concat(F.lit("[\n"), whole, F.lit("]")).alias("value")).select("value")
+     .write.option("maxRecordsPerFile", 1).text(path))
+    return ingest_json(spark, path, SchemaOptions(aliases={"user_id": "person"}), split_bytes=65536).frame
+
+
 @query("ingest_new_files", """
- SELECT count(*) AS files FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'view'
+ SELECT concat('a/event_type=', event_type) AS folder, sha256(event_type || chr(10)) AS input_hash
+ FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'view'
  """)
 def _hashes(spark, sf_dir):
     """One file per event type, given twice; one type is already registered."""
@@ -73,7 +94,8 @@ def _hashes(spark, sf_dir):
     done = one.where("event_type = 'view'").select(
         F.sha2(F.concat("event_type", F.lit("\n")).cast("binary"), 256).alias("input_hash"),
         F.lit("COMPLETED").alias("status"))
-    return new_files(spark, f"{path}/*/*", done).agg(F.count(F.lit(1)).alias("files"))
+    return new_files(spark, f"{path}/*/*", done).select(
+        F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("folder"), "input_hash")
 
 
 @query("store_batches", with_(SVB) + """
@@ -177,3 +199,37 @@ def _stream(spark, sf_dir):
               files_per_trigger=2).awaitTermination()
     return spark.read.parquet(f"{out}/violations").groupBy("rule_code").agg(
         F.count(F.lit(1)).alias("violations"))
+
+
+@query("ingest_stream_dedup", with_(SV) + """
+ SELECT record_id, district_code, count(*) AS times FROM sv GROUP BY ALL""")
+def _stream_once(spark, sf_dir):
+    """Every file comes twice, under another name the second time, after a restart."""
+    df = survey(spark, sf_dir).select("record_id", "district_code", "age")
+    drop, out = scratch_path(spark, "drop"), scratch_path(spark, "stream")
+    for name in ("first", "again"):
+        df.orderBy("record_id").coalesce(4).write.option("header", True).csv(f"{drop}/{name}")
+        watch_csv(spark, f"{drop}/*", df.schema, out, f"{out}/checkpoint", rules=[],
+                  files_per_trigger=3).awaitTermination()
+    return spark.read.parquet(f"{out}/records").groupBy("record_id", "district_code").agg(
+        F.count(F.lit(1)).alias("times"))
+
+
+@query("ingest_stream_rejects", """
+ WITH c AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'about ' || user_id WHEN event_id % 13 = 0 THEN 'n/a'
+   WHEN event_id % 17 = 0 THEN user_id || '.5' ELSE CAST(user_id AS VARCHAR) END AS person,
+   CASE WHEN event_id % 19 = 0 THEN '1,2,x' ELSE CAST(event_id % 40 AS VARCHAR) || '.25' END AS score FROM events)
+ SELECT 'person' AS "column", person AS raw_text, count(*) AS cells FROM c
+ WHERE event_id % 11 = 0 OR (event_id % 13 <> 0 AND event_id % 17 = 0) GROUP BY ALL
+ UNION ALL SELECT 'score', score, count(*) FROM c WHERE event_id % 19 = 0 GROUP BY ALL""")
+def _stream_rejects(spark, sf_dir):
+    df = spark.sql("""SELECT CAST(event_id AS STRING) AS record_id, CASE WHEN event_id % 11 = 0 THEN concat('about ', user_id)
+       WHEN event_id % 13 = 0 THEN 'n/a' WHEN event_id % 17 = 0 THEN concat(user_id, '.5')
+       ELSE CAST(user_id AS STRING) END AS person,
+      if(event_id % 19 = 0, '1,2,x', concat(event_id % 40, '.25')) AS score FROM {events}""",
+                   events=table(spark, sf_dir, "events"))
+    drop, out = scratch_path(spark, "drop"), scratch_path(spark, "stream")
+    df.write.option("header", True).csv(drop)
+    kind = "record_id string, person bigint, score double"
+    watch_csv(spark, drop, T.StructType.fromDDL(kind), out, f"{out}/checkpoint", rules=[]).awaitTermination()
+    return spark.read.parquet(f"{out}/rejects").groupBy("column", "raw_text").agg(F.count(F.lit(1)).alias("cells"))

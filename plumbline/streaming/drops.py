@@ -1,37 +1,60 @@
 """Survey files dropped into a folder, checked as they arrive.
 
-Each micro-batch is cleaned with a fixed schema, checked by the row-local rules
-and appended. Statistics, detectors, forest and fusion need a whole batch as
-their baseline and stay batch jobs.
+A stream of files, not of rows: the SHA-256 of every new file is computed as a task reads
+it, and the state of the stream keeps the digests seen, so an extract that comes again
+under another name, also after a restart, is taken once. Files that are new are cleaned
+with a fixed schema, checked by the row-local rules and appended; cells that do not parse
+go to a table of their own. Statistics, detectors, forest and fusion need a whole batch
+as their baseline and stay batch jobs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.values import clean_cell, is_numeric, parse_number
 from plumbline.operators.rules import Rule, evaluate_rules
+from plumbline.plans.workers import ship
+from plumbline.sources.digests import digest, opened
+
+ship(__name__)
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def clean_with_schema(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Text cells to the declared types; cells that do not parse become null."""
-    cells = []
-    for f in schema.fields:
-        text = clean_cell(F.col(f.name))
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cells.append(parse_number(text).alias(f.name))
-        elif is_numeric(f.dataType):
-            cells.append(parse_number(text).try_cast("bigint").alias(f.name))
-        else:
-            cells.append(text.alias(f.name))
+    cells = [_parsed(f).alias(f.name) for f in schema.fields]
     return raw.select(*cells, *[c for c in raw.columns if c not in schema.names])
 
 
+def _parsed(f: T.StructField) -> Column:
+    text = clean_cell(F.col(f.name))
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return parse_number(text)
+    if not is_numeric(f.dataType):
+        return text
+    number = parse_number(text)
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
+
+
+def rejected_cells(raw: DataFrame, schema: T.StructType, keep: list[str]) -> DataFrame:
+    """(*keep, column, raw_text) of every cell that holds something its type cannot: text in a
+    number, a fraction or too much in a whole number."""
+    cells = [F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("raw_text"),
+                      (clean_cell(F.col(f.name)).isNotNull() & _parsed(f).isNull()).alias("bad"))
+             for f in schema.fields if is_numeric(f.dataType)]
+    if not cells:
+        return raw.select(*keep, F.lit("").alias("column"), F.lit("").alias("raw_text")).where(F.lit(False))
+    bad = raw.select(*keep, F.explode(F.filter(F.array(*cells), lambda c: c["bad"])).alias("c"))
+    return bad.select(*keep, "c.column", "c.raw_text")
+
+
 def text_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
@@ -46,25 +69,44 @@ def watch_csv(
     references: dict[str, list[str]] | None = None,
     files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Process everything present, then stop; run again for later drops.
+    """Process every new file present, then stop; run again for later drops.
 
-    Records go to ``out``/records and violations to ``out``/violations. Both are
-    written under the micro-batch's number, so a replayed one replaces itself.
+    Records go to ``out``/records, violations to ``out``/violations, and cells that do not
+    parse to ``out``/rejects (source_file, column, raw_text). All are written under the
+    micro-batch's number, so a replayed one replaces itself. Of files with equal bytes the
+    first in the order of arrival, then of path, is read; ``checkpoint`` holds what was seen.
     """
     chosen = None if rules is None else list(rules)
     stream = (
-        spark.readStream.schema(text_schema(schema)).option("header", True)
-        .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-        .withColumn("source_file", F.input_file_name())
+        spark.readStream.format("binaryFile").schema(FILES)
+        .option("maxFilesPerTrigger", files_per_trigger).load(folder)
+        .select("path").mapInArrow(_hashed, "path string, input_hash string")
+        .dropDuplicates(["input_hash"])
     )
 
     def save(batch: DataFrame, number: int) -> None:
-        records = clean_with_schema(batch, schema)
+        paths = sorted(r.path for r in batch.select("path").collect())  # at most files_per_trigger
+        if not paths:
+            return
+        raw = (spark.read.schema(text_schema(schema)).option("header", True).csv(paths)
+               .withColumn("source_file", F.input_file_name()))
+        records = clean_with_schema(raw, schema)
         found = evaluate_rules(records, chosen, references, keep=["source_file"]).violations
-        records.write.mode("overwrite").parquet(f"{out}/records/drop={number}")
-        found.write.mode("overwrite").parquet(f"{out}/violations/drop={number}")
+        for name, df in (("records", records), ("violations", found),
+                         ("rejects", rejected_cells(raw, schema, ["source_file"]))):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/drop={number}")
 
     return (
         stream.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each file, streamed: no content is held."""
+    for b in batches:
+        out = []
+        for path in b.column("path").to_pylist():
+            with opened(path) as file:
+                out.append(digest(file, file.size()))
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "input_hash"])
