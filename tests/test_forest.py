@@ -102,3 +102,39 @@ def test_every_tree_gets_its_sample(spark):
         got = samples.groupBy("tree").count().collect()
         assert len(got) == trees and {r["count"] for r in got} == {size} == {min(128, n)}
         assert samples.select("tree", "a").distinct().count() == trees * size
+
+
+def test_a_row_repeated_ten_million_times(spark):
+    """Its share of every sample is its share of the table, and only candidates are shuffled."""
+    n, others = 10 ** 7, 2_000_000
+    s = ForestSettings(trees=12, subsample=256)
+    df = spark.range(n).selectExpr("cast(1 as double) a", "cast(2 as double) b").union(
+        spark.range(others).selectExpr("cast(id + 10 as double)", "cast(id % 7 as double)"))
+    runs = []
+    for parts in (3, 16):
+        samples, size = tree_samples(df.repartition(parts), n + others, s)
+        runs.append(sorted(map(tuple, samples.collect())))
+    assert runs[0] == runs[1] and size == 256 and len(runs[0]) == 12 * 256
+    share = sum(r[2] == 1.0 for r in runs[0]) / len(runs[0])
+    assert share == pytest.approx(n / (n + others), abs=0.03)
+    for tree in range(12):
+        assert 180 < sum(r[2] == 1.0 for r in runs[0] if r[0] == tree) < 240
+
+
+def test_the_draw_shuffles_candidates_only(spark):
+    df = spark.range(100000).selectExpr("cast(id as double) a", "cast(id % 7 as double) b")
+    samples, _ = tree_samples(df, 100000, ForestSettings(trees=10, subsample=16))
+    samples.collect()
+    plan = samples._jdf.queryExecution().executedPlan()
+    shuffled, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert shuffled and max(shuffled) < 1500
