@@ -111,6 +111,33 @@ def _store(spark, sf_dir):
         "batch_id", "records", "column_count", "status", "incomes")
 
 
+@query("prior_records", with_(SVB) + """
+ SELECT batch_id, record_id, CAST(age AS DOUBLE) AS age, CAST(income AS DOUBLE) AS income FROM svb WHERE batch_id <> 'B3'""")
+def _prior(spark, sf_dir):
+    """Earlier batches of different columns and types; one lacks a feature and is not read."""
+    store = Store(spark, scratch_path(spark, "store"))
+    frames = {b: survey_batch(spark, sf_dir, b) for b in ("B1", "B2", "B3")}
+    frames["B2"] = frames["B2"].select("income", F.col("age").cast("double").alias("age"), "record_id", "sex")
+    frames["B0"] = frames["B1"].drop("income")
+    for name, frame in sorted(frames.items()):
+        store.write_batch(Standardized(frame, frame.columns, dict(frame.dtypes)), "csv", name)
+    return store.prior_records("B3", ["age", "income"])
+
+
+@query("prior_records_in_range", with_(SVB) + """
+ SELECT batch_id, record_id, CAST(income AS DOUBLE) AS income FROM svb
+ WHERE batch_id <> 'B2' AND income BETWEEN 100 AND 5000 AND working_hours BETWEEN 0 AND 60""")
+def _prior_range(spark, sf_dir):
+    """A batch whose hours are all out of range is skipped by its manifest."""
+    store = Store(spark, scratch_path(spark, "store"))
+    for b in ("B1", "B2", "B3"):
+        frame = survey_batch(spark, sf_dir, b)
+        if b == "B2":
+            frame = frame.withColumn("working_hours", F.col("working_hours") + 1000)
+        store.write_batch(Standardized(frame, frame.columns, dict(frame.dtypes)), "csv", b)
+    return store.prior_records("none", ["income"], {"income": (100, 5000), "working_hours": (0, 60)})
+
+
 _RUNS: dict[tuple[str, str], Store] = {}
 
 

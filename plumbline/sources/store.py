@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.config import ROLE_CANDIDATES
+from plumbline.functions.values import as_text, is_numeric
+from plumbline.operators.roles import detect_roles, role_text
 from plumbline.operators.standardize import Standardized
 
 BATCHES = (
@@ -21,7 +25,12 @@ BATCHES = (
     "schema_version string, records bigint, column_count int, input_hash string, "
     "created_at timestamp, completed_at timestamp"
 )
+MANIFEST = (
+    "batch_id string, position int, column string, type string, role string, nulls bigint, "
+    "minimum double, maximum double"
+)
 USABLE = ("COMPLETED", "PROFILED")
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 class Store:
@@ -81,36 +90,85 @@ class Store:
         except Exception:
             self.register(batch_id, source, result, 0, "FAILED", input_hash, survey_code, started)
             raise
-        count = self.read_batch(batch_id).count()
+        count = self.describe(batch_id)
         self.register(batch_id, source, result, count, "COMPLETED", input_hash, survey_code,
                       started)
         return batch_id
 
+    def describe(self, batch_id: str) -> int:
+        """Write the manifest of a stored batch, a row per column with the range of its numbers,
+        in one pass; the number of its records."""
+        df = self.read_batch(batch_id)
+        roles = detect_roles(df)
+        role = {name: r for r in ROLE_CANDIDATES if (name := roles.column(r))}
+        numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+        found = df.agg(
+            F.count(F.lit(1)).alias("records"),
+            F.array(*[F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]).alias("nulls"),
+            *[f(F.col(f"`{c}`").cast("double")).alias(f"{n}_{i}") for i, c in enumerate(numbers)
+              for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        at = {c: i for i, c in enumerate(numbers)}
+        rows = [(batch_id, i, c, kind, role.get(c), found["nulls"][i],
+                 *[found[f"{n}_{at[c]}"] if c in at else None for n in ("lo", "hi")])
+                for i, (c, kind) in enumerate(df.dtypes)]
+        (self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite")
+         .parquet(self.batch_path("manifest", batch_id)))
+        return found["records"]
+
+    def manifest(self) -> DataFrame:
+        """Columns of all stored batches: type, role, nulls and range."""
+        try:
+            return self.spark.read.schema(MANIFEST).parquet(self.path("manifest"))
+        except AnalysisException:
+            return self.spark.createDataFrame([], MANIFEST)
+
     def read_batch(self, batch_id: str) -> DataFrame:
         """One batch with its own columns and types."""
         return self.spark.read.parquet(f"{self.path('records')}/batch_id={batch_id}")
 
     def record_ids(self, batch_id: str) -> DataFrame:
         """Only the record id column is read."""
-        from plumbline.operators.roles import detect_roles, role_text
-
         df = self.read_batch(batch_id)
         return df.select(role_text(df, detect_roles(df), "record_id"))
 
-    def prior_records(self, batch_id: str, features: list[str]) -> DataFrame | None:
-        """``features`` of every earlier usable batch that has all of them."""
-        ids = [r["batch_id"] for r in self.batches().where(
-            (F.col("batch_id") != batch_id) & F.col("status").isin(*USABLE)
-        ).select("batch_id").collect()]  # one entry per batch
-        parts = [self.read_batch(i) for i in ids]
-        parts = [p.select(*[F.col(f).cast("double").alias(f) for f in features])
-                 for p in parts if all(f in p.columns for f in features)]
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def prior_records(self, batch_id: str, features: list[str],
+                      between: dict[str, tuple[float, float]] | None = None) -> DataFrame | None:
+        """(batch_id, record_id, *features) of every earlier usable batch that has all
+        ``features`` as numbers; None if there is none.
+
+        The manifest tells which batches those are, so no file of another one is opened.
+        ``between`` asks for records whose columns lie in closed ranges; batches whose own
+        range does not meet them are not read. Batches of the same types are read at once.
+        """
+        between = between or {}
+        usable = self.batches().where((F.col("batch_id") != batch_id) & F.col("status").isin(*USABLE))
+        wanted = {*features, *between}
+        known = self.manifest().where(F.col("column").isin(*wanted) | (F.col("role") == "record_id"))
+        batches: dict[str, dict] = {}
+        for r in known.join(usable.select("batch_id"), "batch_id").collect():  # rows of metadata
+            batches.setdefault(r["batch_id"], {})[r["column"]] = r
+        groups: dict[tuple, list[str]] = {}
+        for name, columns in sorted(batches.items()):
+            if not all(c in columns and columns[c]["type"].startswith(NUMBERS) for c in wanted):
+                continue
+            ranges = [(columns[c]["minimum"], columns[c]["maximum"], *between[c]) for c in between]
+            if any(least is None or most < lo or least > hi for least, most, lo, hi in ranges):
+                continue
+            record = next((c for c, r in columns.items() if r["role"] == "record_id"), None)
+            kinds = tuple(sorted((c, r["type"]) for c, r in columns.items()))
+            groups.setdefault((record, kinds), []).append(name)
+        parts = []
+        for (record, kinds), names in groups.items():
+            ddl = ", ".join(f"`{c}` {kind}" for c, kind in kinds) + ", batch_id string"
+            df = (self.spark.read.schema(ddl).option("basePath", self.path("records"))
+                  .parquet(*[f"{self.path('records')}/batch_id={n}" for n in names]))
+            for c, (lo, hi) in between.items():
+                df = df.where(F.col(f"`{c}`").between(lo, hi))
+            record_id = (as_text(F.col(f"`{record}`"), df.schema[record].dataType) if record
+                         else F.lit(None).cast("string"))
+            parts.append(df.select("batch_id", record_id.alias("record_id"),
+                                   *[F.col(f"`{f}`").cast("double").alias(f) for f in features]))
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     # -- derived tables --
 

@@ -186,3 +186,33 @@ def test_views_and_pages(spark):
         with pytest.raises(ValueError):
             reports.page(rows, number, size)
     assert reports.page(rows, 2, 200).count() == 100
+
+
+def test_prior_records_are_read_by_manifest(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.prior_records("x", ["a"]) is None and store.manifest().isEmpty()
+    frames = {
+        "B1": spark.createDataFrame([("R1", 1, 2.0), ("R2", None, 5.0)], "record_id string, a bigint, b double"),
+        "B2": spark.createDataFrame([(7.5, 1, "z")], "a double, record_id bigint, b string"),
+        "B3": spark.createDataFrame([("R9", 100)], "person_id string, a int"),
+        "B4": spark.createDataFrame([(3, None)], "a bigint, b double"),
+    }
+    for name, df in frames.items():
+        store.write_batch(Standardized(df, df.columns, dict(df.dtypes)), "csv", name)
+
+    def rows(*args, **more):
+        return sorted(map(tuple, store.prior_records(*args, **more).collect()), key=str)
+
+    assert rows("B9", ["a"]) == sorted([("B1", "R1", 1.0), ("B1", "R2", None), ("B2", "1", 7.5), ("B3", "R9", 100.0),
+                                        ("B4", None, 3.0)], key=str)
+    assert rows("B1", ["a", "b"]) == [("B4", None, 3.0, None)]
+    assert rows("B9", ["a"], between={"a": (2, 50)}) == [("B2", "1", 7.5), ("B4", None, 3.0)]
+    # Files that the manifest rules out are not opened.
+    for f in (tmp_path / "s" / "records" / "batch_id=B3").glob("*.parquet"):
+        f.write_bytes(b"no parquet")
+    assert rows("B9", ["a"], between={"a": (2, 50)}) == [("B2", "1", 7.5), ("B4", None, 3.0)]
+    assert store.prior_records("B9", ["gone"]) is None
+    found = {(r.column, r.role): (r.type, r.nulls, r.minimum, r.maximum) for r in
+             store.manifest().where("batch_id = 'B1'").collect()}
+    assert found == {("record_id", "record_id"): ("string", 0, None, None), ("a", None): ("bigint", 1, 1.0, 1.0),
+                     ("b", None): ("double", 0, 2.0, 5.0)}
