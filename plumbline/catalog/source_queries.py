@@ -71,7 +71,7 @@ def _json_list(spark, sf_dir):
     records = spark.sql("""SELECT event_id div 4096 AS file, struct(event_id AS `Event ID`,
       concat(' ', event_type, ' ') AS `Type`, if(event_id % 5 = 0, ' n/a ', CAST(user_id AS STRING)) AS `User-Id`,
       if(event_id % 3 = 0, '-', concat(CAST(event_id % 40 AS STRING), '.25')) AS `Score`,
-      CASE event_id % 4 WHEN 0 THEN concat('}], "[{', event_id) WHEN 1 THEN 'a\\\\"}' ELSE props END AS `Note`) AS r
+      CASE event_id % 4 WHEN 0 THEN concat('}}], "[{{', event_id) WHEN 1 THEN 'a\\\\"}}' ELSE props END AS `Note`) AS r
       FROM {events}""", events=table(spark, sf_dir, "events"))
     path = scratch_path(spark, "json_lists")
     whole = F.array_join(F.collect_list(F.to_json("r")), ",\n")
