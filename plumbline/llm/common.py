@@ -8,6 +8,7 @@ executor repeats tasks and never changes what a later step reads.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -36,10 +37,26 @@ def arrow_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffle files of a step go as soon as it is stored.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: later steps read what was stored."""
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored once in the shared folder and read back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -126,6 +143,35 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+# --- a filter by key that needs no shuffle ----------------------------------------------
+
+BITMAP = 1 << 15  # bits of a bitmap that Spark builds
+MOST_BITMAPS = 2048  # 8 MB at most are sent to every task
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``key`` may be in ``keys``, the other rows); null is in none.
+
+    Keys are marked in a table of hashed bits of bounded size, 16 to a key where that
+    fits. All rows with a marked key are in the first part, so a join of that part alone
+    loses nothing; the fuller the table the more others are there too.
+    """
+    bits = 16 * keys.count()
+    n = 1
+    while n * BITMAP < bits and n < MOST_BITMAPS:
+        n *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(n * BITMAP))
+    marks = keys.where(F.col(key).isNotNull()).select(place.alias("_at")).groupBy(
+        F.expr(f"_at div {BITMAP}").alias("_block")).agg(
+        F.bitmap_construct_agg(F.expr(f"_at % {BITMAP}")).alias("_bits"))
+    marks = written(marks, "marked_keys")
+    kept = df.withColumn("_at", place).withColumn("_block", F.expr(f"_at div {BITMAP}")).join(
+        F.broadcast(marks), "_block", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr(f"cast(_at % {BITMAP} div 8 AS int) + 1"), F.lit(1))), 16, 10)
+    hit = F.coalesce(F.getbit(byte.cast("int"), F.expr("cast(_at % 8 AS int)")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return tuple(kept.where(x).drop("_block", "_at", "_bits") for x in (hit, ~hit))
+
+
 # --- joins and ranks -----------------------------------------------------------------
 
 def hot_join(facts: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
@@ -165,7 +211,8 @@ def ranked(df: DataFrame, order: list[Column], name: str = "_rank") -> DataFrame
     Rows are sorted by ranges; only the number of rows per range meets on the driver.
     """
     path = scratch_path(df.sparkSession, "ranked")
-    df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    with freed(df.sparkSession):
+        df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
     held = df.sparkSession.read.parquet(path)
     part = F.shiftright("_place", 33)
     counts = sorted(tuple(r) for r in held.groupBy(part.alias("p")).count().collect())
@@ -194,15 +241,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     first = True
     while links.limit(1).count():
         both = links.union(links.select("v", "u"))
-        into = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("node"), F.least("u", "m").alias("label")), "merged")
+        into = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(
+            F.col("u").alias("node"), F.least("u", "m").alias("label"), "n"), "merged")
         step = into.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        labels = into if first else written(
+        labels = into.drop("n") if first else written(
             labels.join(step, F.col("label") == F.col("at"), "left")
             .select("node", F.coalesce("to", "label").alias("label")), "labels")
         first = False
-        drawn = (links.join(step, F.col("u") == F.col("at")).select(F.col("to").alias("x"), "v")
-                 .join(step, F.col("v") == F.col("at")).select("x", F.col("to").alias("y")))
+        drawn = links
+        for end, to in (("u", "x"), ("v", "y")):
+            drawn = hot_join(drawn, into.withColumnsRenamed({"node": end, "label": to}), end, "n").drop(end, "n")
         links = written(drawn.where("x <> y").select(
             F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
     return labels

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import (
-    arrow_batches, components, hot_join, map_batches, map_groups, need, written,
+    arrow_batches, components, hot_join, map_batches, map_groups, maybe_in, need, written,
 )
 from plumbline.llm.text import min_hashes, set_key, sets, words
 from plumbline.plans.workers import ship
@@ -44,9 +44,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Texts are linked when 100 * intersection >= ``percent`` * union of their distinct
     shingles. Null and empty texts have no shingles and are linked with nothing.
     Equal rows are one class; rows of one doc_id with different texts are linked
-    only by their texts. A row without doc_id is a group of its own if nothing with
-    an id equals or resembles it (component_id null, kept). ``matches`` suits
-    ``percent`` of at least 80; lower it with ``percent``.
+    only by their texts. Rows without doc_id link others like any row; such a row has
+    component_id null and is kept only where no row of its component has an id.
+    ``matches`` suits ``percent`` of at least 80; lower it with ``percent``. An empty
+    table has no rows; columns other than doc_id and text take no part.
     """
     arrow_batches(docs.sparkSession)
     docs = need(docs, "doc_id", "text")
@@ -57,13 +58,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         profiles.where("n_shingles > 0").groupBy("node", "signature")
         .agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")), "classes")
     groups = written(components(_candidates(classes, coordinates, matches)), "groups")
-    links = written(_links(docs, classes, groups, shingle_words, percent, coordinates, matches),
-                    "exact_links")
+    links = written(_links(docs, classes, groups, shingle_words, percent), "exact_links")
     labels = components(links)
     named = classes.select("node", "smallest", "copies").join(labels, "node", "left")
     named = written(named.withColumn("label", F.coalesce("label", "node")), "named")
-    least = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    table = written(named.join(least, "label").select("node", "copies", "component_id"), "table")
+    least = written(named.groupBy("label").agg(F.min("smallest").alias("component_id"), F.count("*").alias("size")),
+                    "components")
+    table = written(hot_join(named, least, "label", "size").select("node", "copies", "component_id"), "table")
     out = hot_join(profiles.select("doc_id", "n_shingles",
                                    F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")),
                    table, "node", "copies")
@@ -140,19 +141,21 @@ def _forest(n: int, near) -> tuple[list, list]:
     return a, b
 
 
-def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int,
-           coordinates: int, matches: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     members = written(hot_join(groups, written(sizes, "sizes"), "label", "size")
                       .join(classes.select("node", "smallest"), "node")
                       .select("node", "label", "smallest",
                               F.expr(f"ceil(size / {SET_BLOCK})").alias("blocks")), "members")
-    texts = docs.join(members.select(F.col("smallest").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = map_batches(texts, lambda b: _full_sets(b, k), "node binary, shingles binary")
-    rows = full.join(members.drop("smallest"), "node").dropDuplicates(["node"])
+    # One row of a class is enough, that of its smallest id; rows without an id are all read,
+    # since a class may have no others, and are combined before they are shuffled.
+    ids = written(members.select(F.col("smallest").alias("doc_id")).where("doc_id is not null").distinct(), "member_ids")
+    texts = maybe_in(docs, ids, "doc_id")[0].join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    full = map_batches(texts, lambda b: _full_sets(b, k), "node binary, shingles binary").dropDuplicates(["node"])
+    rows = full.join(members.drop("smallest"), "node")
     return map_groups(
         _block_pairs(rows), ["label", "i", "j"], ["node"],
-        lambda key, t: _exact(key, t, percent, coordinates, matches), "a binary, b binary").distinct()
+        lambda key, t: _exact(key, t, percent), "a binary, b binary").distinct()
 
 
 def _full_sets(batch: pa.RecordBatch, k: int) -> dict:
@@ -160,7 +163,7 @@ def _full_sets(batch: pa.RecordBatch, k: int) -> dict:
     return {"node": [set_key(p) for p in parts], "shingles": [p.tobytes() for p in parts]}
 
 
-def _exact(key: tuple, rows: pa.Table, percent: int, coordinates: int, matches: int) -> Iterator[dict]:
+def _exact(key: tuple, rows: pa.Table, percent: int) -> Iterator[dict]:
     n = rows.num_rows
     if n < 2:
         return
@@ -168,14 +171,12 @@ def _exact(key: tuple, rows: pa.Table, percent: int, coordinates: int, matches:
     parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("shingles")]
     block = rows.column("block").to_numpy()
     size = np.array([len(p) for p in parts])
-    sig = min_hashes(parts, coordinates)
     common = _shared_counts(parts, n)
 
     def near(x: int, rest: np.ndarray) -> np.ndarray:
         both = common[x, rest]
         ok = 100 * both >= percent * (size[x] + size[rest] - both)
-        return np.flatnonzero(ok & ((block[rest] != block[x]) | (key[1] == key[2]))
-                              & ((sig[rest] == sig[x]).sum(axis=1) >= matches))
+        return np.flatnonzero(ok & ((block[rest] != block[x]) | (key[1] == key[2])))
 
     a, b = _forest(n, near)
     if a:

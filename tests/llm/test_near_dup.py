@@ -57,6 +57,24 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_rows_without_an_id_link_others(spark):
+    """1 and 2 are each like a row without an id, but not like each other; near copies without
+    ids are one class of their own."""
+    base = prose(1, 200).split(" ")
+    ends = [" ".join(base[:90] + [f"{x}{i}" for i in range(9)] + base[99:]) for x in "ab"]
+    left, right = " ".join([f"p{i}" for i in range(20)] + base[20:]), " ".join(base[:180] + [f"q{i}" for i in range(20)])
+    middle = " ".join(base)
+    other = [prose(7, 150), edited(prose(7, 150), 1, 0.02)]
+    rows = [(1, left, "en", "s"), (2, right, "en", "s"), (None, middle, "en", "s"), (None, ends[0], "en", "s"),
+            *[(None, t, "en", "s") for t in other], (9, prose(8, 90), "en", "s")]
+    assert brute([(1, left), (2, right)], 2, 80)[2][1] == 2
+    assert {v[1] for v in brute([(1, left), (2, right), (3, middle)], 2, 80).values()} == {1}
+    got = near_dup.near_duplicates(table(spark, rows), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 9: 9}
+    assert sorted((r.component_id or 0, r.kept) for r in got if r.doc_id is None) == [
+        (0, True), (0, True), (1, False), (1, False)]
+
+
 def test_awkward_rows(spark):
     got = near_dup.near_duplicates(table(spark, AWKWARD), shingle_words=2).collect()
     assert len(got) == len(AWKWARD)
