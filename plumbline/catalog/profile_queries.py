@@ -41,10 +41,14 @@ def _dataset(spark, sf_dir):
 
 
 @query("profile_duplicates", """
- SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_rows,
-  count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_count FROM lineitem""")
+ WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 50 = 0
+  UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 100 = 0)
+ SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS distinct_rows,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_count FROM t""")
 def _duplicates(spark, sf_dir):
-    return duplicate_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    """Whole rows, some of them two and three times."""
+    df = table(spark, sf_dir, "lineitem")
+    return duplicate_rows(df.unionAll(df.where("l_orderkey % 50 = 0")).unionAll(df.where("l_orderkey % 100 = 0")))
 
 
 @query("profile_numeric", with_(SV, LONG) + """

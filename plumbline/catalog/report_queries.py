@@ -86,7 +86,16 @@ _ROW = ("batch_id", "record_id", "risk_score", "severity", "agreement", "anomaly
  WHERE {CON} AND batch_id = 'B2' {_QUEUE} LIMIT 25 OFFSET 25"""))
 def _queue(spark, sf_dir):
     rows = reports.for_view(assessed_batches(spark, sf_dir), "B2")
-    return reports.page(reports.filter_assessments(rows), 2).select(*_ROW)
+    return reports.queue_page(reports.filter_assessments(rows), 2).select(*_ROW)
+
+
+@query("anomaly_queue_last_page", sql(f"""SELECT {', '.join(_ROW)} FROM (SELECT *,
+  row_number() OVER ({_QUEUE}, batch_id) AS place, count(*) OVER () AS rows FROM ab WHERE batch_id = 'B2')
+ WHERE place > (rows - 1) // 25 * 25"""))
+def _last_page(spark, sf_dir):
+    """The deepest page of a whole batch, clean records at equal risk included."""
+    rows = reports.for_view(assessed_batches(spark, sf_dir), "B2")
+    return reports.queue_page(rows, -(-rows.count() // reports.PAGE_SIZE)).select(*_ROW)
 
 
 @query("anomaly_queue_filtered", sql(f"""SELECT {', '.join(_ROW)} FROM ab

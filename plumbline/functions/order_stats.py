@@ -5,8 +5,8 @@ bracket around every wanted rank until few values are left in it, and only those
 ordered.
 
 ``rank_table`` gives every distinct value its first and last position. Values
-are counted first (so copies shrink before the shuffle), cut at sketch-chosen
-points into many ranges, and ordered inside each range.
+are counted first (so copies shrink before the shuffle), dealt to as many ranges as
+they need, and ordered inside each range; sums of the ranges are carried across.
 """
 
 from __future__ import annotations
@@ -24,11 +24,7 @@ from plumbline.plans.lookup import materialize
 
 INSIDE_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
-RANGES = 128
-
-
-def _literals(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+RANGE_ROWS = 100_000
 
 
 def exact_quantiles(
@@ -136,48 +132,30 @@ def _ranked_values(values: DataFrame, brackets: list[_Bracket]) -> dict[tuple[in
 
 
 def rank_table(
-    values: DataFrame, key: str, value: str, ranges: int = RANGES
+    values: DataFrame, key: str, value: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """(key, value, copies, first_rank, last_rank, total), ranks 1-based.
 
-    ``key`` must have few distinct values (a column name, a batch).
+    Distinct values are dealt to ranges of about ``range_rows`` by (key, value), so their
+    number follows the table; running sums stay inside a range, and the totals of the
+    ranges, one row per range and key, are summed up and added.
     """
-    counts = (
+    counts = materialize(
         values.where(F.col(value).isNotNull())
         .groupBy(key, value)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    counts = materialize(counts)
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = {
-        r[key]: sorted(set(r["cuts"]))
-        for r in counts.groupBy(key)
-        .agg(F.percentile_approx(value, steps, SKETCH_ACCURACY).alias("cuts"))
-        .collect()
-    }
-    if not cuts:
-        return counts.select(
-            key, value, "copies", *[F.lit(None).cast("long").alias(c)
-                                    for c in ("first_rank", "last_rank", "total")]
-        )
-    slot = F.lit(0)
-    for name, points in cuts.items():
-        passed = F.size(F.filter(_literals(points), lambda p: p < F.col(value)))
-        slot = F.when(F.col(key) == F.lit(name), passed).otherwise(slot)
-    placed = counts.withColumn("_slot", slot)
-    spread = Window.partitionBy(key).orderBy("_slot")
-    offsets = (
-        placed.groupBy(key, "_slot")
-        .agg(F.sum("copies").alias("_in_slot"))
-        .withColumn("_before", F.sum("_in_slot").over(spread) - F.col("_in_slot"))
-        .withColumn("total", F.sum("_in_slot").over(Window.partitionBy(key)))
-        .drop("_in_slot")
-    )
-    inner = Window.partitionBy(key, "_slot").orderBy(value)
+        .agg(F.count(F.lit(1)).alias("copies")))
+    ranges = max(1, -(-counts.count() // range_rows))
+    placed = materialize(counts.repartitionByRange(ranges, key, value).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy(key, "_range").agg(F.sum("copies").alias("_in_range"))
+    spread = Window.partitionBy(key).orderBy("_range")
+    offsets = sums.select(
+        key, "_range", (F.sum("_in_range").over(spread) - F.col("_in_range")).alias("_before"),
+        F.sum("_in_range").over(Window.partitionBy(key)).alias("total"))
+    inner = Window.partitionBy(key, "_range").orderBy(value)
     return (
-        # One row per key and range: its size is keys x ranges by construction.
-        placed.join(F.broadcast(offsets), [key, "_slot"])
-        .withColumn("last_rank", F.col("_before") + F.sum("copies").over(inner))
+        placed.withColumn("_upto", F.sum("copies").over(inner))
+        .join(offsets, [key, "_range"])
+        .withColumn("last_rank", F.col("_before") + F.col("_upto"))
         .withColumn("first_rank", F.col("last_rank") - F.col("copies") + 1)
         .select(key, value, "copies", "first_rank", "last_rank", "total")
     )

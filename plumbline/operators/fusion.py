@@ -18,6 +18,7 @@ from plumbline.config import (
 from plumbline.functions import scoring
 from plumbline.functions.values import id_text
 from plumbline.operators.roles import detect_roles, role_text
+from plumbline.plans import lookup
 from plumbline.plans.lookup import lookup_join, materialize
 
 IDS = ("enumerator_id", "cluster_id", "district_id")
@@ -198,7 +199,13 @@ def _attach_groups(assessed: DataFrame, detections: DataFrame) -> DataFrame:
     for role in GROUP_ROLES:
         table = types.where(F.col("role") == role).select(
             F.col("id").alias(role), F.col("types").alias(f"_{role}_types"))
-        out = lookup_join(out, table, [role], rows=sizes.get(role, 0))
+        size, weight = sizes.get(role, 0), None
+        if size > lookup.BROADCAST_ROWS:
+            # Records per group tell which groups are hot.
+            counts = assessed.where(F.col(role).isNotNull()).groupBy(role).agg(F.count(F.lit(1)).alias("_records"))
+            weight = "_records"
+            table = materialize(table.join(counts, role, "left").fillna(0, [weight]))
+        out = lookup_join(out, table, [role], weight, size).drop("_records")
     empty = F.array().cast(TYPES)
     names = F.concat(*[
         F.transform(F.coalesce(c, empty), lambda t: t["type"])

@@ -20,30 +20,52 @@ from plumbline.operators.roles import (
     Roles, concept, detect_roles, id_columns, role_text, row_order,
 )
 from plumbline.operators.standardize import unpivot_measures
-from plumbline.plans.lookup import empty_frame, lookup_join, materialize
+from plumbline.plans.lookup import empty_frame, lookup_join, materialize, maybe_in
 
 TOP_VALUES = 10
 
 
+def row_copies(df: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(_copies, *extra) per distinct row of ``df``, however wide its rows are.
+
+    Rows are first counted by a 128-bit digest, a narrow shuffle; only rows whose digest
+    comes more than once, and the few that share a mark with one, are grouped by all their
+    cells. The others are alone and are not moved. ``extra`` columns follow from the cells.
+    """
+    extra = extra or {}
+    kinds = ("map<", "variant")  # no key of any grouping
+    cells = [F.col(f"`{c}`") for c, kind in df.dtypes if not any(k in kind for k in kinds)]
+    digest = F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))
+    # A digest is told apart from one with other nulls: nulls are skipped by the hash.
+    shape = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    rows = df.withColumns({"_digest": F.struct(digest.alias("h"), F.xxhash64(shape).alias("s")),
+                           **{f"_x_{n}": c for n, c in extra.items()}})
+    repeated = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    some, alone = maybe_in(rows, materialize(repeated), "_digest")
+    named = [F.first(f"_x_{n}").alias(n) for n in extra]
+    met = some.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"), *named).select("_copies", *extra)
+    return met.unionByName(alone.select(F.lit(1).cast("bigint").alias("_copies"),
+                                        *[F.col(f"_x_{n}").alias(n) for n in extra]))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, distinct_rows, duplicate_count): every copy but the first."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
-    return copies.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
+    return row_copies(df).agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_count"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_count"),
     )
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """One row. Rows are grouped by all cells once; missing cells ride along."""
+    """One row. Copies are counted by digest; missing cells ride along."""
     roles = detect_roles(df)
     width = len(df.columns)
     numeric = [f.name for f in df.schema.fields
                if f.name in roles.numeric_measures
                or (f.name in roles.identifiers and f.dataType.typeName() != "string")]
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    missing = F.sum(missing_cells(df.columns) * F.col("_copies"))
+    copies = row_copies(df, {"_missing": missing_cells(df.columns)})
+    missing = F.sum(F.col("_missing") * F.col("_copies"))
     cells = F.sum("_copies") * width
     return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("record_count"),

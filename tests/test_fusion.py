@@ -154,3 +154,43 @@ def test_evaluation_report(spark):
     row = evaluation_report(fuse(records, rules, statistics, ml), labels).first()
     assert (row["recall"], row["precision"], row["flagged_by_ml"], row["labelled"],
             row["intentionally_clean"]) == (1.0, 1.0, 1, 2, 3)
+
+
+def queue_rows(spark, n=900):
+    levels = ["CRITICAL", "HIGH", "MEDIUM", "LOW", None]
+    rows = [(f"R{(i * 37) % n:04d}", levels[i % 5], None if i % 31 == 0 else float((i * i) % 90) + (0.25 if i % 2 else 0.0),
+             f"E{i % 7}", f"C{i % 40}") for i in range(n)]
+    return spark.createDataFrame(rows, "record_id string, severity string, risk_score double, enumerator_id string, "
+                                       "cluster_id string").repartition(6)
+
+
+def test_any_page_of_the_queue_by_counts(spark):
+    from plumbline.operators import reports
+
+    rows = queue_rows(spark)
+    every = [r.record_id for r in rows.orderBy(*reports.queue_order()).collect()]
+    for number, size in ((1, 25), (2, 200), (36, 25), (5, 200), (18, 50)):
+        got = reports.queue_page(rows, number, size)
+        assert [r.record_id for r in got.collect()] == every[(number - 1) * size:number * size]
+        assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert not reports.queue_page(rows, 37, 25).count() and not reports.queue_page(rows.limit(0)).count()
+    assert reports.queue_page(rows, 5, 200).columns == rows.columns
+    for number, size in ((0, 25), (1, 0), (1, 201)):
+        with pytest.raises(ValueError):
+            reports.queue_page(rows, number, size)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_rows_with_a_baseline_by_three_ids(spark, monkeypatch, limit):
+    from plumbline.operators import reports
+    from plumbline.plans import lookup
+
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+    rows = queue_rows(spark).withColumn("evidence_refs", F.lit(None).cast("string"))
+    found = spark.createDataFrame([("R0001", None, None), (None, "E3", None), (None, None, "C8"), ("none", "E99", None)],
+                                  "record_id string, enumerator_id string, cluster_id string")
+    got = reports._with_baseline(rows, found)
+    want = rows.where("record_id = 'R0001' or enumerator_id = 'E3' or cluster_id = 'C8'")
+    assert sorted(got.columns) == sorted(rows.columns)
+    assert sorted(r.record_id for r in got.collect()) == sorted(r.record_id for r in want.collect())
+    assert not reports._with_baseline(rows, found.limit(0)).count()

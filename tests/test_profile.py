@@ -84,3 +84,18 @@ def test_top_values_break_ties_by_text(spark):
     rows = profile.top_values(profile.category_counts(df, ["v"]), ["variable"], 3)
     assert [r["value"] for r in rows.orderBy("position").collect()] == ["a", "b", "c"]
     assert rows.where(F.col("count") != 2).count() == 0
+
+
+def test_copies_of_wide_rows_are_counted_by_digest(spark):
+    from plumbline.operators.profile import duplicate_rows, row_copies
+
+    rows = [(i % 40, None if i % 3 else "x", float(i % 2) if i % 5 else None) for i in range(600)]
+    rows += [(None, "1", None), (1, None, None), (None, None, None), (7, "y", -0.0), (7, "y", 0.0)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(5)
+    plain = df.groupBy(*df.columns).count()
+    got = duplicate_rows(df).first()
+    assert (got.rows, got.distinct_rows) == (605, plain.count())
+    assert sorted(r[0] for r in row_copies(df).collect()) == sorted(r["count"] for r in plain.collect())
+    assert tuple(duplicate_rows(df.limit(0)).first()) == (0, 0, 0)
+    alone = duplicate_rows(spark.range(3000).selectExpr("id", "repeat('x', 500) as wide"))
+    assert tuple(alone.first()) == (3000, 3000, 0)
