@@ -27,6 +27,7 @@ from plumbline.operators.detectors.shift import distribution_shift, prior_counts
 from plumbline.operators.detectors.drift import in_order, period_drift, period_steps
 from plumbline.operators.detectors.temporal import temporal
 from plumbline.operators.profile import TOP_VALUES
+from plumbline.operators.reports import distribution_items, temporal_series
 
 
 def lowered(detector: str, **thresholds: float):
@@ -281,20 +282,19 @@ def _temporal(kind):
     return run
 
 
-query("temporal_change", with_(SVD, PERIODS) + """
+_CHANGE = with_(SVD, PERIODS) + """
  SELECT c.period AS entity_id, 'unemployment_rate' AS field_name,
   round(c.rate, 6) AS observed_value, round(p.rate, 6) AS expected_value,
   round(c.rate - p.rate, 6) AS deviation,
   CASE WHEN abs(c.rate - p.rate) >= 0.12 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   'previous_period' AS baseline_type FROM per c JOIN per p ON p.i = c.i - 1
- WHERE c.n >= 8 AND p.n >= 8 AND abs(c.rate - p.rate) >= 0.03""")(_temporal("previous_period"))
-query("temporal_z", with_(SVD, PERIODS, "t AS (SELECT avg(rate) AS m, stddev_samp(rate) AS s "
+ WHERE c.n >= 8 AND p.n >= 8 AND abs(c.rate - p.rate) >= 0.03"""
+_OFF = with_(SVD, PERIODS, "t AS (SELECT avg(rate) AS m, stddev_samp(rate) AS s "
                                         "FROM per)") + """
  SELECT period AS entity_id, 'unemployment_rate' AS field_name, round(rate, 6) AS observed_value,
   round(m, 6) AS expected_value, round(rate - m, 6) AS deviation, 'MEDIUM' AS severity,
-  'rolling_mean' AS baseline_type FROM per, t WHERE n >= 8 AND abs((rate - m) / s) >= 2.5""")(
-    _temporal("rolling_mean"))
-query("temporal_ewma_cusum", with_(SVD, PERIODS, """
+  'rolling_mean' AS baseline_type FROM per, t WHERE n >= 8 AND abs((rate - m) / s) >= 2.5"""
+_DRIFT = with_(SVD, PERIODS, """
  use AS (SELECT period, rate, row_number() OVER (ORDER BY period) AS k FROM per WHERE n >= 8),
  walk AS (
   SELECT k, period, rate, rate AS ewma, CAST(0.0 AS DOUBLE) AS carry,
@@ -306,7 +306,19 @@ query("temporal_ewma_cusum", with_(SVD, PERIODS, """
    FROM walk w JOIN use u ON u.k = w.k + 1))""") + """
  SELECT period AS entity_id, 'unemployment_rate' AS field_name, round(rate, 6) AS observed_value,
   round(ewma, 6) AS expected_value, round(cusum, 6) AS deviation, 'MEDIUM' AS severity,
-  'ewma_cusum' AS baseline_type FROM walk WHERE cusum >= 0.15""")(_temporal("ewma_cusum"))
+  'ewma_cusum' AS baseline_type FROM walk WHERE cusum >= 0.15"""
+query("temporal_change", _CHANGE)(_temporal("previous_period"))
+query("temporal_z", _OFF)(_temporal("rolling_mean"))
+query("temporal_ewma_cusum", _DRIFT)(_temporal("ewma_cusum"))
+
+
+@query("temporal_series", "SELECT * FROM (" + " UNION ALL ".join(f"""
+ SELECT entity_id AS period, observed_value AS observed, expected_value AS baseline,
+  round(coalesce(expected_value, 0) + 0.08, 6) AS threshold, deviation FROM ({x})"""
+                                                                for x in (_CHANGE, _OFF, _DRIFT)) + ")")
+def _series(spark, sf_dir):
+    s = Survey.of(survey_daily(spark, sf_dir), configs=lowered("TEMPORAL_CHANGE", pp_threshold=0.03, min_period_n=8))
+    return rounded(temporal_series(temporal(s).detections))
 
 
 query("temporal_steps_per_record", """
@@ -379,6 +391,14 @@ query("distribution_shift_tvd", _shift_sql(True))(_shift(False))
 query("distribution_shift_full", _shift_sql(False))(_shift(True))
 
 
+@query("distribution_items", f"""SELECT field_name AS field, observed_value AS distance,
+ expected_value AS threshold FROM ({_shift_sql(False)})""")
+def _items(spark, sf_dir):
+    s = Survey.of(survey_batch(spark, sf_dir, "B3"), configs=lowered("DISTRIBUTION_SHIFT", tvd_threshold=0.01))
+    found = distribution_shift(s, prior_counts(survey_batch(spark, sf_dir, "B2"), None), "B2", "B3").detections
+    return rounded(distribution_items(found).drop("explanation"))
+
+
 # --- all families at their usual limits ----------------------------------------
 
 ALL = ", ".join((RATES, ENTROPY, TOPS, HOMES)) + ", det AS (" + " UNION ALL ".join(

@@ -181,6 +181,21 @@ def _case_list(spark, sf_dir):
                               priority="HIGH").select("record_id", "status", "priority")
 
 
+@query("case_latest_assessment", with_(CASES) + """
+ SELECT record_id, status, o_orderkey % 97 AS risk_score, CASE WHEN o_orderkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
+  'CONFIRMED' AS anomaly_status FROM now JOIN orders ON record_id = concat('O', CAST(o_orderkey AS VARCHAR))""")
+def _case_latest(spark, sf_dir):
+    """Cases with the highest of two runs of their record."""
+    held = stored_cases(spark, sf_dir)
+    keys = [c for c in cases.CASE if c != "record_id"]
+    runs = spark.sql("""SELECT concat('O', o_orderkey) AS record_id, r AS run_id, if(r = 2, o_orderkey % 97, 0) AS risk_score,
+      if(r = 2 AND o_orderkey % 2 = 0, 'HIGH', 'LOW') AS severity, if(r = 2, 'CONFIRMED', 'NORMAL') AS anomaly_status
+      FROM {orders} LATERAL VIEW explode(array(1, 2)) AS r""", orders=table(spark, sf_dir, "orders"))
+    if keys:
+        runs = runs.join(held.select("record_id", *keys).distinct(), "record_id")
+    return cases.with_latest_assessment(held, runs).select("record_id", "status", "risk_score", "severity", "anomaly_status")
+
+
 @query("case_audit", with_(CASES) + """
  , a AS (SELECT action_id, record_id, action, user, ns, last_value(ns IGNORE NULLS) OVER (
    PARTITION BY record_id ORDER BY ts, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)

@@ -248,6 +248,44 @@ def _entity_page(spark, sf_dir):
     return linked.groupBy("detector_type").agg(F.count(F.lit(1)).alias("detections"))
 
 
+def _page(grain: str, entity: str):
+    def run(spark, sf_dir):
+        profile, linked = reports.entity_page(batch_profiles(spark, sf_dir).where("batch_id = 'B2'"),
+                                              stored_detections(spark, sf_dir), grain, entity)
+        found = linked.groupBy("detector_type").agg(F.count(F.lit(1)).alias("detections"))
+        return found.join(profile.select("id", "record_count"), F.lit(True), "left")
+    return run
+
+
+query("cluster_page_detections", sql("""SELECT detector_type, count(*) AS detections, 'C3' AS id,
+  (SELECT count(*) FROM svb WHERE batch_id = 'B2' AND cluster_id = 'C3') AS record_count
+ FROM det WHERE cluster_id = 'C3' OR (entity_type = 'cluster' AND entity_id = 'C3')
+ GROUP BY detector_type"""))(_page("cluster", "C3"))
+
+
+@query("detections_by_view", sql("""SELECT detector_type, record_id FROM det JOIN svb USING (record_id)
+ WHERE batch_id = 'B1'"""))
+def _detections_view(spark, sf_dir):
+    """Detections of the newest run of a batch; an older run with all of them again is left out."""
+    batches = survey_batches(spark, sf_dir).select("record_id", "batch_id")
+    now = stored_detections(spark, sf_dir).select("detector_type", "record_id").join(batches, "record_id").withColumn(
+        "run_id", F.lit(2))
+    old = now.withColumns({"run_id": F.lit(1), "detector_type": F.lit("OLD")})
+    return reports.for_view(now.unionByName(old), "B1").select("detector_type", "record_id")
+
+
+@query("group_listing", sql(f"""SELECT cluster_id AS id, count(*) AS records, row_number() OVER (ORDER BY
+  count(*) FILTER ({CON} AND severity IN ('HIGH', 'CRITICAL')) DESC, count(*) DESC, cluster_id) AS place
+ FROM ab GROUP BY cluster_id"""))
+def _listing(spark, sf_dir):
+    """Groups in listing order; a group is a row of at most one per cluster."""
+    from pyspark.sql import Window
+
+    groups = reports.group_rows(everything(spark, sf_dir), "cluster")
+    place = F.row_number().over(Window.orderBy(*reports.group_order()))
+    return groups.select("id", "records", place.cast("bigint").alias("place"))
+
+
 @query("group_detail_records", sql(f"""SELECT {', '.join(_ROW)} FROM ab
  WHERE {CON} AND cluster_id = 'C3'"""))
 def _group_detail(spark, sf_dir):

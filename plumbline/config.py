@@ -201,8 +201,7 @@ DETECTORS = {
         DetectorConfig("CLUSTER_PATTERN", "Cluster response similarity", "PATTERN",
                        thresholds={"share_threshold": 0.7, "min_records": 8}),
         DetectorConfig("DISTRIBUTION_SHIFT", "Historical distribution shift", "HISTORICAL",
-                       thresholds={"psi_threshold": 0.25, "ks_threshold": 0.35,
-                                   "tvd_threshold": 0.35}),
+                       thresholds={"tvd_threshold": 0.35}),
         DetectorConfig("STAT_MAD", "Robust MAD outlier", "STATISTICAL"),
     )
 }

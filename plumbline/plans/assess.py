@@ -23,7 +23,7 @@ from plumbline.operators.profile import (
     variable_profiles,
 )
 from plumbline.operators.roles import detect_roles, eligible_measures
-from plumbline.operators.rules import Rule, RuleRun, evaluate_rules, skipped_rules
+from plumbline.operators.rules import Rule, RuleRun, checked, evaluate_rules, skipped_rules
 from plumbline.operators.statistics import batch_baselines, evaluate_statistics
 from plumbline.plans.lookup import empty_frame, materialize
 from plumbline.sources.store import Store
@@ -87,7 +87,7 @@ def assess(
     earlier batches: means per variable, value counts, rates, and records.
     """
     o = options
-    rules = evaluate_rules(df, o.rules, o.references, o.survey_code)
+    rules = evaluate_rules(df, checked(o.rules), o.references, o.survey_code)
     statistics = evaluate_statistics(df, baselines, batch_id, o.statistics)
     stages = {"RULES": "COMPLETED", "STATISTICS": "COMPLETED"}
     detectors = run_detectors(df, o.order, o.detectors, enumerator_history, prior, source_batch,
@@ -197,13 +197,17 @@ def _run_stages(store: Store, batch_id: str, o: AssessOptions, run_id: int, log:
     found: dict[str, object] = {}
 
     def rules() -> None:
-        done = evaluate_rules(df, o.rules, o.references, o.survey_code)
+        done = evaluate_rules(df, checked(o.rules), o.references, o.survey_code)
         write("rule_violations", done.violations)
         write("skipped_rules", skipped_rules(spark, done))
 
     log.run("RULES", rules)
+    # What the stored profile knows as numbers; it has a row per column.
+    profiled = {r["variable_name"] for r in read("variable_profiles").where("kind = 'numeric'").select(
+        "variable_name").collect()}
+    measures = eligible_measures(detect_roles(df), profiled)
     log.run("STATISTICS", lambda: write("statistical_evidence", evaluate_statistics(
-        df, earlier if newest else None, batch_id, o.statistics)))
+        df, earlier if newest else None, batch_id, o.statistics, measures)))
 
     def intelligence() -> None:
         values = store.read("value_counts", source) if newest else None
@@ -224,8 +228,8 @@ def _run_stages(store: Store, batch_id: str, o: AssessOptions, run_id: int, log:
         write("ml_evidence", empty_frame(spark, FOREST_EVIDENCE))
         if not o.use_forest:
             return "UNAVAILABLE", "switched off"
-        features = eligible_measures(detect_roles(df))
-        done = run_forest(df, store.prior_records(batch_id, features) if newest else None, o.forest)
+        past = store.prior_records(batch_id, measures) if newest and measures else None
+        done = run_forest(df, past, o.forest, measures)
         if done.status != "COMPLETED":
             return "UNAVAILABLE", done.status
         write("ml_evidence", done.evidence)
@@ -242,6 +246,9 @@ def _run_stages(store: Store, batch_id: str, o: AssessOptions, run_id: int, log:
             read("quality_detections"), remembered, o.fusion))
         write("dataset_assessments",
               dataset_context(read("statistical_evidence"), remembered, o.fusion))
+        # What later batches compare themselves with.
+        write("baselines", batch_baselines(df).withColumn("created_at", F.current_timestamp()))
+        write("value_counts", prior_counts(df))
 
     log.run("FUSION", fusion)
 
@@ -253,6 +260,3 @@ def _run_stages(store: Store, batch_id: str, o: AssessOptions, run_id: int, log:
             read("variable_profiles"), read("entity_profiles")))
 
     log.run("CONTEXT", context, soft=True)
-    # What later batches compare themselves with.
-    write("baselines", batch_baselines(df).withColumn("created_at", F.current_timestamp()))
-    write("value_counts", prior_counts(df))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.values import clean_cell, is_numeric, parse_number
-from plumbline.operators.rules import Rule, evaluate_rules
+from plumbline.operators.rules import Rule, checked, evaluate_rules
 from plumbline.plans.workers import ship
 from plumbline.sources.digests import digest, opened
 
@@ -76,7 +76,7 @@ def watch_csv(
     micro-batch's number, so a replayed one replaces itself. Of files with equal bytes the
     first in the order of arrival, then of path, is read; ``checkpoint`` holds what was seen.
     """
-    chosen = None if rules is None else list(rules)
+    chosen = checked(rules)
     stream = (
         spark.readStream.format("binaryFile").schema(FILES)
         .option("maxFilesPerTrigger", files_per_trigger).load(folder)

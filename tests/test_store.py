@@ -6,6 +6,7 @@ from plumbline.config import ForestSettings
 from plumbline.operators import reports
 from plumbline.operators.rules import Rule
 from plumbline.operators.standardize import Standardized, standardize
+from plumbline.operators.forest import run_forest
 from plumbline.plans.assess import AssessOptions, assess, overall_status, run_batch
 from plumbline.sources.readers import content_hashes, new_files
 from plumbline.sources.store import Store, write_report
@@ -216,3 +217,22 @@ def test_prior_records_are_read_by_manifest(spark, tmp_path):
              store.manifest().where("batch_id = 'B1'").collect()}
     assert found == {("record_id", "record_id"): ("string", 0, None, None), ("a", None): ("bigint", 1, 1.0, 1.0),
                      ("b", None): ("double", 0, 2.0, 5.0)}
+
+
+def test_only_measures_of_the_stored_profile_are_used(spark, tmp_path, monkeypatch):
+    """A number that the profile holds as text gives neither evidence nor a feature."""
+    from plumbline.plans import assess as plan
+
+    rows = [(f"R{i}", float(i % 9), 10.0 if i else 900.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id string, a double, b double")
+    store = Store(spark, str(tmp_path / "s"))
+    store.write_batch(Standardized(df, df.columns, dict(df.dtypes)), "csv", "B1")
+    run_batch(store, "B1", AssessOptions(use_forest=False))
+    assert {r.variable for r in store.read("statistical_evidence", "B1").select("variable").distinct().collect()} == {"b"}
+    known = plan.variable_profiles
+    monkeypatch.setattr(plan, "variable_profiles", lambda d: known(d).where("variable_name <> 'b'"))
+    seen = []
+    monkeypatch.setattr(plan, "run_forest", lambda d, past, s, features: seen.append(features) or run_forest(
+        d, past, s, features))
+    run_batch(store, "B1", AssessOptions(), 2)
+    assert store.read("statistical_evidence", "B1", 2).count() == 0 and seen == [["a"]]
