@@ -119,7 +119,7 @@ def marks(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     return materialize(
         keys.where(F.col(f"`{key}`").isNotNull()).select(place.alias("_at"))
         .groupBy(F.expr(f"_at div {BITMAP}").alias("_block"))
-        .agg(F.bitmap_construct_agg(F.expr(f"_at % {BITMAP}")).alias("_bits"))), n
+        .agg(F.bitmap_construct_agg(F.expr(f"_at % {BITMAP}")).alias("_bits")).repartition(1)), n
 
 
 def maybe_marked(df: DataFrame, held: tuple[DataFrame, int], key: str, name: str) -> DataFrame:
