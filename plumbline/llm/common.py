@@ -143,35 +143,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
-# --- a filter by key that needs no shuffle ----------------------------------------------
-
-BITMAP = 1 << 15  # bits of a bitmap that Spark builds
-MOST_BITMAPS = 2048  # 8 MB at most are sent to every task
-
-
-def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``df`` whose ``key`` may be in ``keys``, the other rows); null is in none.
-
-    Keys are marked in a table of hashed bits of bounded size, 16 to a key where that
-    fits. All rows with a marked key are in the first part, so a join of that part alone
-    loses nothing; the fuller the table the more others are there too.
-    """
-    bits = 16 * keys.count()
-    n = 1
-    while n * BITMAP < bits and n < MOST_BITMAPS:
-        n *= 2
-    place = F.pmod(F.xxhash64(key), F.lit(n * BITMAP))
-    marks = keys.where(F.col(key).isNotNull()).select(place.alias("_at")).groupBy(
-        F.expr(f"_at div {BITMAP}").alias("_block")).agg(
-        F.bitmap_construct_agg(F.expr(f"_at % {BITMAP}")).alias("_bits"))
-    marks = written(marks, "marked_keys")
-    kept = df.withColumn("_at", place).withColumn("_block", F.expr(f"_at div {BITMAP}")).join(
-        F.broadcast(marks), "_block", "left")
-    byte = F.conv(F.hex(F.substring("_bits", F.expr(f"cast(_at % {BITMAP} div 8 AS int) + 1"), F.lit(1))), 16, 10)
-    hit = F.coalesce(F.getbit(byte.cast("int"), F.expr("cast(_at % 8 AS int)")) == 1, F.lit(False)) & F.col(key).isNotNull()
-    return tuple(kept.where(x).drop("_block", "_at", "_bits") for x in (hit, ~hit))
-
-
 # --- joins and ranks -----------------------------------------------------------------
 
 def hot_join(facts: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:

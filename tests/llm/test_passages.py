@@ -105,7 +105,8 @@ def test_minimizers_hit_every_window():
 def test_alignment_counts_equal_words():
     x = np.array([1, 2, 3, 4, 9, 5, 6, 7, 8, 11], dtype=np.uint32)
     y = np.array([0, 2, 3, 4, 5, 6, 7, 8, 12, 13], dtype=np.uint32)
-    assert passages.align(x, y, [[1, 1, 3], [5, 4, 4]]) == (1, 9, 1, 8, 7)
+    parts = [[1, 1, 3], [5, 4, 4]]
+    assert passages.align(x, y, parts, passages.extend(passages.ends(x, y, parts))) == (1, 9, 1, 8, 7)
 
 
 def test_passages_assembled_from_earlier_lines(spark):
@@ -154,3 +155,85 @@ def test_fuzzy_passages_at_the_stated_identity(spark):
         planted.setdefault(n, set()).add(2 * i + 1)
     found = {r.doc_id for r in collect(spark, rows) if r.source_doc_id == r.doc_id - 1 and r.identity >= 0.8}
     assert {n: len(found & ids) >= 29 for n, ids in planted.items()} == {6: True, 9: True, 12: True}
+
+
+def test_hot_seeds_give_the_same_passages(spark):
+    """Posts of hot hashes take another way to their first occurrence."""
+    common, line = prose(1, 70, 9000), prose(2, 12, 9000)
+    rows = [(i, f"{line} {prose(100 + i, 60, 9000)} {edited(common, i, 0.03)} {line} {prose(300 + i, 30, 9000)}", "en", "s")
+            for i in range(60)] + AWKWARD
+    one, two, three = (sorted(collect(spark, rows, hot_docs=n), key=str) for n in (10 ** 6, 20, 1))
+    assert one == two == three and len(one) > 50
+
+
+def plain_extension(x, y, miss=passages.MISS, reach=passages.REACH, band=passages.BAND):
+    """Best score of aligning a start of x with a start of y, by the full table."""
+    n, m = min(len(x), reach), min(len(y), reach + band)
+    table_ = [[0] * (m + 1) for _ in range(n + 1)]
+    best = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i == j == 0:
+                continue
+            options = []
+            if abs(i - j) > band:
+                table_[i][j] = -10 ** 9
+                continue
+            if i and j:
+                options.append(table_[i - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -miss))
+            if i:
+                options.append(table_[i - 1][j] - miss)
+            if j:
+                options.append(table_[i][j - 1] - miss)
+            table_[i][j] = max(options)
+            best = max(best, table_[i][j])
+    return best
+
+
+def test_extensions_with_gaps_are_the_best_of_the_full_table():
+    rng = np.random.default_rng(3)
+    jobs = []
+    for trial in range(60):
+        x = rng.integers(0, 1 << 31, 50).astype(np.uint32)
+        y = x.tolist()
+        for _ in range(rng.integers(0, 6)):
+            at = int(rng.integers(0, len(y)))
+            y[at:at + rng.integers(0, 2)] = [int(rng.integers(0, 1 << 31))] * int(rng.integers(0, 2))
+        y += rng.integers(0, 1 << 31, 20).tolist()
+        jobs.append((x[:int(rng.integers(1, 50))], np.array(y, dtype=np.uint32)))
+    for (x, y), (i, j, equal) in zip(jobs, passages.extend(jobs)):
+        # One that the fall of DROP ends early may be worse; edits here never fall that far.
+        score = equal - passages.MISS * (max(i, j) - equal) if abs(i - j) <= 0 else None
+        if score is not None and score == plain_extension(x, y):
+            continue
+        assert plain_extension(x[:i], y[:j]) == plain_extension(x, y)
+    assert passages.extend([]) == []
+    none = np.zeros(0, dtype=np.uint32)
+    assert passages.extend([(none, none), (none, jobs[0][1])]) == [(0, 0, 0)] * 2
+
+
+def test_fuzzy_passages_with_gaps(spark):
+    """Insertions, deletions and mixtures at identity 0.85 and 0.9 by the longest common subsequence."""
+    rng = np.random.default_rng(11)
+    rows, planted = [], {}
+    for i in range(120):
+        kind, share = ("ins", "del", "mix")[i % 3], (0.10, 0.14)[i // 3 % 2]
+        one = [f"w{v}" for v in rng.integers(0, 20000, 80)]
+        two = list(one)
+        for _ in range(int(80 * share)):
+            k = kind if kind != "mix" else ("ins", "del", "sub")[rng.integers(0, 3)]
+            at = int(rng.integers(0, len(two)))
+            if k == "del":
+                del two[at]
+            else:
+                two[at:at + (k == "sub")] = [f"e{rng.integers(0, 10 ** 6)}"]
+        for doc, w in ((2 * i, one), (2 * i + 1, two)):
+            rows.append((doc, f"{prose(1000 + doc, 40, 20000)} {' '.join(w)} {prose(3000 + doc, 40, 20000)}", "en", "s"))
+        planted.setdefault((kind, share), {})[2 * i + 1] = len(two)
+    found = {}
+    for r in collect(spark, rows):
+        if r.source_doc_id == r.doc_id - 1 and r.identity >= 0.8:
+            found[r.doc_id] = found.get(r.doc_id, 0) + r.end_word - r.start_word
+    for group in planted.values():
+        assert sum(d in found for d in group) >= 0.95 * len(group)
+        assert sum(found.get(d, 0) >= 0.8 * n for d, n in group.items()) >= 0.85 * len(group)
