@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import (
     _arrow, _ddl, _emit, arrow_batches, hot_join, map_batches, map_groups, need, written,
@@ -745,8 +746,9 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     spans = written(passages.groupBy("doc_id").agg(
         F.collect_list("start_word").alias("lo"), F.collect_list("end_word").alias("hi")), "spans")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest])
-                       .alias("rest"))
+    # A struct has a field at least; this one's name is none of the table's.
+    none = F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))
+    rows = docs.select("doc_id", "text", F.struct(none, *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     some, others = maybe_in(rows, spans, "doc_id")
     known = some.join(spans, "doc_id", "left")
 
@@ -765,9 +767,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("rest"), new],
                                              ["doc_id", "text", "rest", "cut"])
 
-    kind = rows.schema["rest"].dataType.simpleString()
-    ids = rows.schema["doc_id"].dataType.simpleString()
-    done = known.mapInArrow(run, f"doc_id {ids}, text string, rest {kind}, cut string")
+    done = known.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cut", T.StringType())]))
     done = done.unionByName(others.withColumn("cut", F.lit(None).cast("string")))
     columns = {c: F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in docs.columns}
     columns["text"] = F.coalesce("cut", "text")

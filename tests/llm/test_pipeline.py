@@ -105,3 +105,17 @@ def test_packs_hold_the_mixed_rows(kept):
         if r.doc_id in once:
             part = ids[r.doc_id][r.start:r.start + r.length]
             assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(part.tobytes()))
+
+
+def test_awkward_column_names_stay(spark):
+    """A dot in a name, and the name that the stages might use themselves."""
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame(
+        [(1, text, 1, "a"), (2, text, 2, "b"), (3, f"x {text} y", 3, None), (None, None, 4, "d")],
+        "doc_id bigint, text string, `_` int, `a.b` string")
+    deduped = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert deduped.columns == docs.columns
+    assert {(r.doc_id, r["_"], r["a.b"]) for r in deduped.collect()} == {(1, 1, "a"), (None, 4, "d")}
+    cut = corpus_pipeline.substring_dedup(spark, docs, SF)
+    assert cut.columns == docs.columns
+    assert {r["_"]: (r.text, r["a.b"]) for r in cut.collect()} == {1: (text, "a"), 2: ("", "b"), 3: ("x y", None), 4: (None, "d")}
