@@ -38,7 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    # A struct has a field at least; this one's name is none of the table's.
+    none = F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))
+    rows = docs.select("doc_id", "text", F.struct(none, *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     rows = rows.join(kept, "doc_id", "left_semi").withColumn("n", first).where("n = 1")
     columns = [F.col(f"rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns]
@@ -53,12 +55,17 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a repeated document comes as several rows."""
+    """Sources at their target weights; a repeated document comes as several rows.
+
+    A null source is one of its own, a null text has no words and stays once; rows equal
+    in all cells are documents each. An empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every id of every document in one piece of a sequence of at most 1024."""
+    """Every id of every document in one piece of a sequence of at most 1024. A null text is
+    empty and has the end id only; repeated rows are packed each; no rows give no pieces."""
     return packing.pack(docs)
 
 
