@@ -3,6 +3,10 @@
 Input: (doc_id, line_no, page, text, score). A record starts at every line
 labelled with a record id; a label's value is on its line or on the next line
 that is not a bare separator.
+
+A document whose line numbers lie in one block is read in one task: its lines are
+shuffled once, by document, and everything else happens where they lie. Longer
+documents are cut into blocks whose edges are carried across.
 """
 
 from __future__ import annotations
@@ -12,12 +16,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.config import FORM_LABELS, KNOWN_GENDERS, KNOWN_MARITAL
 from plumbline.functions.scoring import pick, score_band
 from plumbline.functions.sequences import neighbours, running_sum
 from plumbline.functions.values import NUMBER, strip
-from plumbline.plans.lookup import lookup_join, materialize
+from plumbline.plans.lookup import BROADCAST_ROWS, lookup_join, materialize, null_safe_join
 
 LINES_PER_BLOCK = 10_000
 FIELDS = [name for name, _ in FORM_LABELS]
@@ -29,30 +34,45 @@ SEPARATOR = r"^[:\x{FF1A}\-\x{2013}\x{2014}]\s*$"
 COLON_EDGES = r"^[:\x{FF1A}]\s*|[:\x{FF1A}]\s*$"
 
 
-def match_label(text: Column) -> tuple[Column, Column]:
-    """(field or null, text after the label)."""
-    line = strip(text)
-    alias = F.lower(F.regexp_extract(line, LABEL, 1))
-    field = pick(alias, {a: name for name, aliases in FORM_LABELS for a in aliases})
-    return field, strip(F.regexp_extract(line, LABEL, 2))
+def match_label(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_text`` stripped, ``field`` (or null) and ``inline``, the text after
+    the label. Each expression stands once, in a step of its own: they are dear."""
+    matched = lines.withColumn("_text", strip(F.col("text"))).withColumns({
+        "_alias": F.lower(F.regexp_extract("_text", LABEL, 1)),
+        "_rest": F.regexp_extract("_text", LABEL, 2)})
+    field = pick(F.col("_alias"), {a: name for name, aliases in FORM_LABELS for a in aliases})
+    return matched.withColumns({"field": field, "inline": strip(F.col("_rest"))})
 
 
 def _no_colons(value: Column) -> Column:
     return strip(F.regexp_replace(value, COLON_EDGES, ""))
 
 
-def form_fields(lines: DataFrame) -> DataFrame:
-    """(doc_id, block, page, field, value, score), one row per field of a record."""
-    field, inline = match_label(F.col("text"))
-    marked = lines.select(
+def _span() -> Column:
+    return F.floor(F.col("line_no") / LINES_PER_BLOCK)
+
+
+def form_fields(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, block, page, field, value, score), one row per field of a record.
+
+    ``whole``: every document's lines are to lie in one task.
+    """
+    if whole:
+        lines = lines.select("doc_id", "line_no", "page", "text", "score").repartition("doc_id")
+    marked = match_label(lines).select(
         "doc_id", "line_no", "page", "text", F.col("score").cast("double").alias("score"),
-        field.alias("field"), _no_colons(inline).alias("inline"),
-        strip(F.col("text")).rlike(SEPARATOR).alias("bare"),
-        F.floor(F.col("line_no") / LINES_PER_BLOCK).alias("_span"),
+        "field", _no_colons(F.col("inline")).alias("inline"),
+        F.col("_text").rlike(SEPARATOR).alias("bare"), _span().alias("_span"),
     )
+
+    def along(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        if not whole:
+            return running_sum(df, ["doc_id"], "_span", [order], value, name)
+        upto = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(upto))
+
     # A separator belongs to the text line before it.
-    numbered = running_sum(marked, ["doc_id"], "_span", ["line_no"],
-                           (~F.col("bare")).cast("long"), "_line")
+    numbered = along(marked, "line_no", (~F.col("bare")).cast("long"), "_line")
     first = F.struct("line_no", "page", "text", "score", "field", "inline")
     texts = numbered.where(F.col("_line") > 0).groupBy("doc_id", "_line").agg(
         F.min(F.when(~F.col("bare"), first)).alias("_l"),
@@ -60,14 +80,21 @@ def form_fields(lines: DataFrame) -> DataFrame:
         F.count(F.when(F.col("bare"), F.col("score"))).alias("_sep_n"),
     ).select("doc_id", "_line", "_l.*", "_sep_sum", "_sep_n",
              F.floor(F.col("_line") / LINES_PER_BLOCK).alias("_span"))
-    ahead = neighbours(texts, ["doc_id"], "_span", ["_line"],
-                       {"_next": "text", "_next_field": "field", "_next_score": "score"}, 1)
-    blocks = running_sum(ahead, ["doc_id"], "_span", ["_line"],
-                         (F.coalesce(F.col("field"), F.lit("")) == "record_id").cast("long"),
-                         "block")
-    candidate = F.when(F.col("_next_field").isNull(), _no_colons(strip(F.col("_next"))))
-    has_inline = F.col("inline") != ""
-    has_next = ~has_inline & (F.coalesce(candidate, F.lit("")) != "")
+    after = {"_next": "text", "_next_field": "field", "_next_score": "score"}
+    if whole:
+        following = Window.partitionBy("doc_id").orderBy("_line")
+        ahead = texts.withColumns({new: F.lead(src).over(following) for new, src in after.items()})
+    else:
+        ahead = neighbours(texts, ["doc_id"], "_span", ["_line"], after, 1)
+    blocks = along(ahead, "_line",
+                   (F.coalesce(F.col("field"), F.lit("")) == "record_id").cast("long"), "block")
+    # Dear texts are made once, for labels only; later steps name them.
+    labels = blocks.where((F.col("block") > 0) & F.col("field").isNotNull()).withColumn(
+        "_has_inline", F.col("inline") != "")
+    candidate = F.when(~F.col("_has_inline") & F.col("_next_field").isNull(),
+                       _no_colons(strip(F.col("_next"))))
+    labels = labels.withColumn("_candidate", F.nullif(candidate, F.lit("")))
+    has_inline, has_next = F.col("_has_inline"), F.col("_candidate").isNotNull()
     zero = F.lit(0.0)
     own_n = F.col("score").isNotNull().cast("long")
     total = F.coalesce("score", zero) + F.when(has_inline, zero).otherwise(
@@ -75,9 +102,9 @@ def form_fields(lines: DataFrame) -> DataFrame:
         .otherwise(zero)
     parts = own_n + F.when(has_inline, F.lit(0)).otherwise(F.col("_sep_n")) + F.when(
         has_next, F.col("_next_score").isNotNull().cast("long")).otherwise(F.lit(0))
-    found = blocks.where((F.col("block") > 0) & F.col("field").isNotNull()).select(
+    found = labels.select(
         "doc_id", "block", "page", "field", "line_no",
-        F.when(has_inline, F.col("inline")).when(has_next, candidate).alias("value"),
+        F.when(has_inline, F.col("inline")).otherwise(F.col("_candidate")).alias("value"),
         F.try_divide(total, parts).alias("score"),
     )
     # The first value wins; without any, the last empty label counts.
@@ -90,9 +117,9 @@ def form_fields(lines: DataFrame) -> DataFrame:
         F.col("_c.value").alias("value"), F.col("_c.score").alias("score"))
 
 
-def form_records(lines: DataFrame) -> DataFrame:
+def form_records(lines: DataFrame, whole: bool = False) -> DataFrame:
     """One row per record: raw values and mean scores, f_<field> and s_<field>."""
-    fields = form_fields(lines)
+    fields = form_fields(lines, whole)
     cells = [
         e for f in FIELDS for e in (
             F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"f_{f}"),
@@ -104,7 +131,7 @@ def form_records(lines: DataFrame) -> DataFrame:
 
 def _clean(name: str) -> Column:
     cell = strip(F.regexp_replace(strip(F.col(f"f_{name}")), r"^[:\x{FF1A}]+|[:\x{FF1A}]+$", ""))
-    return F.when(cell != "", cell)
+    return F.nullif(cell, F.lit(""))
 
 
 def normalize_records(records: DataFrame) -> DataFrame:
@@ -112,17 +139,14 @@ def normalize_records(records: DataFrame) -> DataFrame:
     cleaned = records.select(
         "doc_id", "block", "page", *[_clean(f).alias(f) for f in FIELDS],
         *[F.col(f"s_{f}") for f in FIELDS])
-
-    def digits(name: str) -> Column:
-        return F.regexp_replace(F.col(name), r"[^0-9.\-]", "")
-
-    def number(name: str) -> Column:
-        return F.when(digits(name).rlike(NUMBER), digits(name).try_cast("double"))
-
+    numbers = ("age", "income")
     typed = cleaned.withColumns({
-        "_age": number("age"), "_income": number("income"),
-        "_age_ok": F.col("age").isNull() | number("age").isNotNull(),
-        "_income_ok": F.col("income").isNull() | number("income").isNotNull(),
+        f"_{n}_digits": F.regexp_replace(F.col(n), r"[^0-9.\-]", "") for n in numbers
+    }).withColumns({
+        f"_{n}": F.when(F.col(f"_{n}_digits").rlike(NUMBER), F.col(f"_{n}_digits").try_cast("double"))
+        for n in numbers
+    }).withColumns({
+        f"_{n}_ok": F.col(n).isNull() | F.col(f"_{n}").isNotNull() for n in numbers
     }).withColumn("_years", F.col("_age").cast("long"))
     issues = F.array_compact(F.array(
         F.when(F.col("record_id").isNull(), "Missing Record ID."),
@@ -141,9 +165,9 @@ def normalize_records(records: DataFrame) -> DataFrame:
         F.when(~F.lower(marital).isin(*KNOWN_MARITAL),
                F.concat(F.lit("Unrecognized marital status value: '"), marital, F.lit("'."))),
     ))
-    scores = F.array_compact(F.array(*[F.col(f"s_{f}") for f in FIELDS]))
-    mean = F.when(F.size(scores) > 0,
-                  F.aggregate(scores, F.lit(0.0), lambda a, b: a + b) / F.size(scores))
+    total = reduce(lambda a, b: a + b, [F.coalesce(f"s_{f}", F.lit(0.0)) for f in FIELDS], F.lit(0.0))
+    some = reduce(lambda a, b: a + b, [F.col(f"s_{f}").isNotNull().cast("int") for f in FIELDS])
+    mean = F.try_divide(total, some)
     low = reduce(lambda a, b: a | b, [
         F.col(f).isNotNull() & (score_band(F.col(f"s_{f}")) == "low") for f in FIELDS])
     plain = [f for f in FIELDS if f not in ("age", "income")]
@@ -167,6 +191,10 @@ def flag_duplicates(records: DataFrame) -> DataFrame:
     )
     joined = lookup_join(records, materialize(repeated), ["doc_id", "record_id"],
                          weight="_copies")
+    return _warned(joined, records.columns)
+
+
+def _warned(joined: DataFrame, columns: list[str]) -> DataFrame:
     warning = F.concat(F.lit("Duplicate Record ID '"), F.col("record_id"),
                        F.lit("' within this upload."))
     again = F.col("_copies").isNotNull()
@@ -174,11 +202,38 @@ def flag_duplicates(records: DataFrame) -> DataFrame:
         "warnings": F.when(again, F.concat("warnings", F.array(warning)))
         .otherwise(F.col("warnings")),
         "needs_review": F.col("needs_review") | again,
-    }).select(*records.columns)
+    }).select(*columns)
+
+
+def _flag_within(records: DataFrame) -> DataFrame:
+    """``flag_duplicates`` where every document's records lie in one task."""
+    same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "record_id"))
+    copies = F.when(F.col("doc_id").isNotNull() & F.col("record_id").isNotNull() & (same > 1), same)
+    return _warned(records.withColumn("_copies", copies), records.columns)
+
+
+def long_documents(lines: DataFrame) -> DataFrame:
+    """(doc_id) of the documents whose lines lie in more than one block."""
+    spans = lines.groupBy("doc_id").agg(
+        F.min(_span()).alias("lo"), F.max(_span()).alias("hi"),
+        F.count_if(F.col("line_no").isNull()).alias("gone"))
+    return materialize(spans.where("lo < hi or (gone > 0 and lo is not null)").select("doc_id"))
 
 
 def read_forms(lines: DataFrame) -> DataFrame:
-    return flag_duplicates(normalize_records(form_records(lines)))
+    cut = long_documents(lines)
+    size = cut.count()
+    if size > BROADCAST_ROWS:
+        return flag_duplicates(normalize_records(form_records(lines)))
+    short, parts = lines, []
+    if size:
+        known = F.broadcast(cut.withColumn("_cut", F.lit(True)))
+        split = null_safe_join(lines, known, ["doc_id"], "left")
+        short = split.where(F.col("_cut").isNull()).drop("_cut")
+        parts = [flag_duplicates(normalize_records(form_records(
+            split.where(F.col("_cut")).drop("_cut"))))]
+    parts.append(_flag_within(normalize_records(form_records(short, whole=True))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def preview(lines: DataFrame, records: DataFrame) -> DataFrame:

@@ -203,3 +203,27 @@ def test_batch_summary(spark, people):
     assert "record_feature_highlights" not in body and body["enumerator_context"]
     least = context.batch_summary("B1", *parts, max_bytes=100).first()
     assert json.loads(least["context"])["historical_context"]["priors"] == []
+
+
+def test_forms_shuffle_lines_once(spark, monkeypatch):
+    """Documents of one block need one shuffle and no second reading; cut ones say the same."""
+    from plumbline.operators import form_lines
+
+    cells = ["Record ID: 7", "Age", ":", "41", "Record ID: 7", "Sex: robot", "Income", "-", "-", "x", "ID: 8", ":"]
+    rows = [(doc, i * step, 1, cell, 0.5 + i / 64) for doc, step in (("a", 1), ("b", 3), (None, 1))
+            for i, cell in enumerate(cells)]
+    frame = spark.createDataFrame(rows, "doc_id string, line_no long, page long, text string, score double")
+
+    def found():
+        got = read_forms(frame).drop("field_confidence", "field_confidence_band")
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return plan.count("Exchange hashpartitioning"), sorted(map(str, got.drop("page").collect()))
+
+    exchanges, whole = found()
+    assert exchanges == 1
+    assert sum("Duplicate Record ID" in r for r in whole) == 4
+    monkeypatch.setattr(form_lines, "LINES_PER_BLOCK", 16)  # "b" is cut, the others are not
+    assert form_lines.long_documents(frame).collect() == [("b",)]
+    assert found()[1] == whole
+    monkeypatch.setattr(form_lines, "BROADCAST_ROWS", 0)
+    assert found()[1] == whole
