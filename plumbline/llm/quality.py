@@ -2,11 +2,14 @@
 
 A document's score is a weighted sum of what its whole text measures. Weights come
 from preference pairs (a good document over a bad one) by logistic loss on feature
-differences; a quantile of the sample's scores is the threshold.
+differences; a quantile of the scores of all labelled documents is the threshold.
+Every labelled document outside the held-out fold is learned from: knots and threshold
+are exact quantiles over all of them, and each is in at least one pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_batches, map_batches, need
-from plumbline.llm.linear import fold, labelled_sample, newton, sigmoid
+from plumbline.functions.order_stats import exact_quantiles, rank_table
+from plumbline.functions.sequences import running_sum
+from plumbline.llm.common import arrow_batches, map_batches, need, written
+from plumbline.llm.linear import fold, labelled, newton_over, sigmoid, sums_over
 from plumbline.llm.text import Words, shingles, words
+from plumbline.plans.lookup import maybe_in
 from plumbline.plans.workers import ship
 
 ship(__name__)
-SAMPLE_ROWS = 20_000
-PAIRS = 40_000
+PAIRS = 40_000  # at least; more where there are more documents of a label
+BUCKETS = 256
 THRESHOLD = 0.3
 KNOTS = (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 _KINDS = np.zeros((7, 256), dtype=np.int32)
@@ -75,22 +81,82 @@ def hinges(x: np.ndarray, knots: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=2).reshape(len(x), -1) / scale
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS) -> dict | None:
-    """A ranking from labelled features; None where a label has no document."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
+def stacked(b: pa.RecordBatch, name: str) -> np.ndarray:
+    """A list column of a batch as a matrix."""
+    return np.array(b.column(name).to_pylist(), dtype=float)
+
+
+def column_quantiles(known: DataFrame, probs: tuple[float, ...]) -> np.ndarray:
+    """Exact quantiles of every feature over all rows, a row per feature."""
+    values = known.select(F.posexplode("x").alias("i", "v"))
+    ranks = rank_table(values, "i", "v")
+    places = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("total") - 1)).alias("at"))
+                       for k, p in enumerate(probs)])
+    # A wanted place lies between two ranks, each of which one value holds.
+    ends = F.explode(F.flatten(F.transform(places, lambda s: F.array(
+        F.struct(s["k"].alias("k"), s["at"].alias("at"), (F.floor(s["at"]) + 1).alias("rank")),
+        F.struct(s["k"].alias("k"), s["at"].alias("at"), (F.ceil(s["at"]) + 1).alias("rank"))))))
+    hits = ranks.select("i", "v", "first_rank", "last_rank", ends.alias("e")).where(
+        F.col("e.rank").between(F.col("first_rank"), F.col("last_rank"))).select("i", "v", "e.*").collect()
+    out = np.zeros((1 + max(r["i"] for r in hits), len(probs)))
+    near = {(r["i"], r["k"], r["rank"]): r["v"] for r in hits}
+    for r in hits:
+        low = near[r["i"], r["k"], math.floor(r["at"]) + 1]
+        high = near[r["i"], r["k"], math.ceil(r["at"]) + 1]
+        out[r["i"], r["k"]] = low + (high - low) * (r["at"] - math.floor(r["at"]))
+    return out
+
+
+def paired(known: DataFrame, good: int, bad: int, least: int = PAIRS) -> DataFrame:
+    """(won, lost): features of pairs of a good and a bad document, every document in at
+    least one; pairs are dealt in turn by the documents' numbers, which follow a hash."""
+    round_ = math.lcm(good, bad)  # so many pairs differ before the turns shift by one
+    deal = known.sparkSession.range(max(least, good, bad)).select(
+        (F.col("id") % good).alias("g"), F.expr(f"(id + id div {round_}L) % {bad}").alias("b"))
+    won = known.where("label = 1").select((F.col("_n") - 1).alias("g"), F.col("x").alias("won"))
+    lost = known.where("label = 0").select((F.col("_n") - 1).alias("b"), F.col("x").alias("lost"))
+    return deal.join(won, "g").join(lost, "b").select("won", "lost")
+
+
+def fit(rows: DataFrame, pairs: int = PAIRS) -> dict | None:
+    """A ranking from all rows (label, _h, x); None where a label has no document.
+
+    ``_h`` orders the rows. Every step is a pass over stored rows that sums on the way.
+    """
+    known = written(running_sum(
+        rows.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS))), ["label"], "_bucket", ["_h", "x"],
+        F.lit(1), "_n").select("label", "x", "_n"), "quality_rows")
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    good, bad = n.get(1, 0), n.get(0, 0)
+    if not good or not bad:
         return None
-    knots = np.quantile(x, KNOTS, axis=0).T
-    raw = hinges(x, knots, np.ones(1))
-    scale = np.maximum(raw.std(axis=0), 1e-9)
-    z = raw / scale
-    pick = np.random.default_rng(5)
-    n = max(pairs, len(bad), len(good))
-    wins = z[pick.choice(good, n)] - z[pick.choice(bad, n)]
-    w = newton(wins, None, ridge=10.0)
-    s = z @ w
-    cut = float(np.quantile(s, len(bad) / len(label)))
-    slope = newton(np.column_stack([s - cut, np.ones(len(s))]), (label == 1).astype(float))[0]
+    knots = column_quantiles(known, KNOTS)
+    plain = np.ones(1)
+
+    def moments(b: pa.RecordBatch) -> list[np.ndarray]:
+        raw = hinges(stacked(b, "x"), knots, plain) - middle
+        return [raw.sum(axis=0), (raw ** 2).sum(axis=0)]
+
+    # Sums around the mean, which takes a pass of its own, keep small spreads.
+    middle = np.zeros(knots.size + len(knots))
+    middle = sums_over(known, moments)[0] / (good + bad)
+    scale = np.maximum(np.sqrt(sums_over(known, moments)[1] / (good + bad)), 1e-9)
+
+    def differences(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        wins = hinges(stacked(b, "won"), knots, scale) - hinges(stacked(b, "lost"), knots, scale)
+        return wins, np.ones(len(wins))
+
+    w = newton_over(written(paired(known, good, bad, pairs), "quality_pairs"), differences, len(scale), ridge=10.0)
+    scores = written(map_batches(known.select("label", "x"), lambda b: {
+        "label": b.column("label"), "s": hinges(stacked(b, "x"), knots, scale) @ w,
+    }, "label int, s double"), "quality_ranked")
+    cut = exact_quantiles(scores, {"s": F.col("s")}, [bad / (good + bad)])["s"][0]
+
+    def margins(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        s = b.column("s").to_numpy(zero_copy_only=False) - cut
+        return np.column_stack([s, np.ones(len(s))]), b.column("label").to_numpy(zero_copy_only=False).astype(float)
+
+    slope = newton_over(scores, margins, 2)[0]
     return {"knots": knots, "scale": scale, "weights": w, "cut": cut, "slope": max(float(slope), 0.05)}
 
 
@@ -102,44 +168,46 @@ def score(x: np.ndarray, model: dict | None, threshold: float = THRESHOLD) -> np
     return sigmoid(model["slope"] * (s - model["cut"]) + np.log(threshold / (1 - threshold)))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int | None = 5, held_out: int = 0,
-          sample_rows: int = SAMPLE_ROWS) -> dict | None:
-    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold."""
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every whole text."""
     arrow_batches(docs.sparkSession)
-    keep = F.lit(True) if folds is None else fold("doc_id", folds) != held_out
-    sample = labelled_sample(docs, labels, "quality", keep, sample_rows)
-    got = map_batches(sample.select("text", "label"), lambda b: {
-        "label": b.column("label"),
+    return map_batches(need(docs, "doc_id", "text"), lambda b: {
+        "doc_id": b.column("doc_id"),
         "x": [r.tolist() for w in words(b.column("text")) for r in features(w)],
-    }, "label int, x array<double>").toPandas()
-    if not len(got):
-        return None
-    x = np.array(got["x"].tolist())
-    order = np.lexsort([*x.T[::-1], got["label"]])
-    return fit(x[order], got["label"].to_numpy()[order])
+    }, "doc_id bigint, x array<double>")
+
+
+def learn(held: DataFrame, labels: DataFrame, folds: int | None = 5, held_out: int = 0) -> dict | None:
+    """A model from all labelled rows of stored ``measured`` documents outside the held-out fold."""
+    keep = F.lit(True) if folds is None else fold("doc_id", folds) != held_out
+    rows = held.join(labelled(labels, "quality", keep), "doc_id").select(
+        F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id", "quality").alias("_h"), "x")
+    return fit(rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int | None = 5, held_out: int = 0) -> dict | None:
+    """``learn`` where only labelled documents need be measured."""
+    some, _ = maybe_in(need(docs, "doc_id", "text"), need(labels, "doc_id"), "doc_id")
+    return learn(written(measured(some), "quality_features"), labels, folds, held_out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
-                   threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                   threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``.
 
     A null text is an empty one and has a score. With no labelled pair to learn from
-    every score is 0.5. Only ``doc_id`` and ``text`` are read.
+    every score is 0.5. Only ``doc_id`` and ``text`` are read, and measured once.
     """
-    model = train(docs, labels, folds, held_out, sample_rows)
-    return scored(docs, model, threshold).select(
+    held = written(measured(docs), "quality_features")
+    model = learn(held, labels, folds, held_out)
+    scored = map_batches(held, lambda b: {
+        "doc_id": b.column("doc_id"), "score": score(stacked(b, "x"), model, threshold),
+    }, "doc_id bigint, score double")
+    return scored.select(
         "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def scored(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
-    arrow_batches(docs.sparkSession)
-    return map_batches(need(docs, "doc_id", "text"), lambda b: {
-        "doc_id": b.column("doc_id"),
-        "score": np.concatenate([score(features(w), model, threshold) for w in words(b.column("text"))]),
-    }, "doc_id bigint, score double")
-
-
 def filtered(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
     arrow_batches(docs.sparkSession)

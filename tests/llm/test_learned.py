@@ -115,3 +115,25 @@ def test_folds_follow_crc32(spark):
     from plumbline.llm.linear import fold
     got = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Beyond 20,000 rows too: counts, knots, pairs and threshold cover all of them."""
+    rng = np.random.default_rng(3)
+    n = 24_000
+    x, label = rng.normal(size=(n, 2)).round(2), (np.arange(n) % 3 > 0).astype(int)
+    x[:, 0] += label
+    rows = spark.createDataFrame(
+        [(int(label[i]), i, x[i].tolist()) for i in range(n)], "label int, _h bigint, x array<double>").coalesce(3)
+    model = quality.fit(rows, 10)
+    assert np.allclose(model["knots"], np.quantile(x, quality.KNOTS, axis=0).T, atol=1e-12)
+    raw = quality.hinges(x, model["knots"], np.ones(1))
+    assert np.allclose(model["scale"], np.maximum(raw.std(axis=0), 1e-9))
+    s = raw / model["scale"] @ model["weights"]
+    assert np.isclose(model["cut"], np.quantile(s, (label == 0).mean()))
+    assert auc(s, label) > 0.75
+    known = spark.createDataFrame([(int(i < 5), i % 5 + 1, [float(i)]) for i in range(8)],
+                                  "label int, _n bigint, x array<double>")
+    pairs = [(r.won[0], r.lost[0]) for r in quality.paired(known, 5, 3, 1).collect()]
+    assert {a for a, _ in pairs} == {0, 1, 2, 3, 4} and {b for _, b in pairs} == {5, 6, 7}
+    assert len(set((r.won[0], r.lost[0]) for r in quality.paired(known, 5, 3, 15).collect())) == 15
