@@ -194,3 +194,23 @@ def test_rows_with_a_baseline_by_three_ids(spark, monkeypatch, limit):
     assert sorted(got.columns) == sorted(rows.columns)
     assert sorted(r.record_id for r in got.collect()) == sorted(r.record_id for r in want.collect())
     assert not reports._with_baseline(rows, found.limit(0)).count()
+
+
+def test_detectors_run_once(spark, tmp_path, monkeypatch):
+    """Assessments and reports share the stored detections."""
+    from plumbline.catalog import fusion_queries
+    from plumbline.operators.detectors.common import no_detections
+    from plumbline.operators.detectors.run import DetectorRun
+
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' AS ts, id % 7 AS user_id, 'view' AS event_type, "
+              "double(id) AS value, '' AS props FROM range(40)").write.parquet(f"{tmp_path}/events.parquet")
+    runs = []
+
+    def counted(df):
+        runs.append(df)
+        return DetectorRun(no_detections(spark), [], {})
+
+    monkeypatch.setattr(fusion_queries, "run_detectors", counted)
+    assert fusion_queries.stored_assessments(spark, str(tmp_path)).count() == 40
+    assert fusion_queries.stored_detections(spark, str(tmp_path)).count() == 0
+    assert len(runs) == 1
