@@ -83,7 +83,7 @@ def hinges(x: np.ndarray, knots: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def stacked(b: pa.RecordBatch, name: str) -> np.ndarray:
     """A list column of a batch as a matrix."""
-    return np.array(b.column(name).to_pylist(), dtype=float)
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
 
 def column_quantiles(known: DataFrame, probs: tuple[float, ...]) -> np.ndarray:
