@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from plumbline.catalog import registry
+from plumbline.catalog import registry, views
 from tests.oracle_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -40,3 +40,15 @@ def test_no_plan_multiplies_rows(spark):
     for name in ("fusion_with_detections", "group_rollup_enumerator", "stat_evidence"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_survey_queries_ask_for_functions_the_jvm_compiles(spark, monkeypatch):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    monkeypatch.setitem(views.QUERIES, "probe", None)
+    views.query("probe")(lambda s, d: s.conf.get(limit))
+    try:
+        spark.conf.set(limit, "65535")
+        assert int(views.QUERIES["probe"](spark, "")) <= 8000
+    finally:
+        spark.conf.set(limit, before)
