@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.functions import order_stats
 from plumbline.functions.order_stats import exact_quantiles, rank_table
 from plumbline.functions.sequences import neighbours, running_sum
 from plumbline.plans.lookup import lookup_join, materialize
@@ -152,3 +153,18 @@ def test_long_sequences_are_the_same_when_cut(spark):
         assert np.array_equal(found["other"].to_numpy(dtype=float), expected, equal_nan=True)
     total = running_sum(df, ["d"], "b", ["i"], F.col("v"), "s").toPandas().sort_values(["d", "i"])
     assert (total["s"].to_numpy() == group.cumsum().to_numpy()).all()
+
+
+def test_quantiles_of_a_column_share_a_sketch(spark, monkeypatch):
+    made = []
+    sketch = F.percentile_approx
+
+    def counted(*args):
+        made.append(args)
+        return sketch(*args)
+
+    monkeypatch.setattr(order_stats.F, "percentile_approx", counted)
+    df = spark.range(3000).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))
+    found = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.25, 0.5, 0.75], inside_rows=2999)
+    assert found == {"a": [749.75, 1499.5, 2249.25], "b": [1499.5, 2999.0, 4498.5]}
+    assert len(made) == 2  # one pass, a sketch per column
