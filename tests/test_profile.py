@@ -99,3 +99,24 @@ def test_copies_of_wide_rows_are_counted_by_digest(spark):
     assert tuple(duplicate_rows(df.limit(0)).first()) == (0, 0, 0)
     alone = duplicate_rows(spark.range(3000).selectExpr("id", "repeat('x', 500) as wide"))
     assert tuple(alone.first()) == (3000, 3000, 0)
+
+
+def test_records_are_combined_before_scopes(spark):
+    """Null orders come first, copies per scope are made of combinations only."""
+    df = spark.createDataFrame(
+        [(f"R{i}", f"E{i % 2}", f"C{i % 2}" if i else None, f"D{i % 4 // 2}" if i != 5 else None, i, float(i))
+         for i in range(400)],
+        "respondent_id string, Enumerator string, fsu string, district string, age bigint, at double")
+    df = df.withColumn("at", F.when(F.col("respondent_id") != "R7", F.col("at")))
+    roles = detect_roles(df)
+    rows = profile.scope_sums(df, roles, F.col("at"), [F.col("age").alias("v")],
+                              [F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")])
+    # (E0, null, D0), (E0, C0, D0), (E0, C0, D1), (E1, C1, D0), (E1, C1, D1), (E1, C1, null)
+    assert rows.count() == 6 * 4
+    whole = rows.where("scope = 'dataset'").agg(F.sum("n"), F.sum("v")).first()
+    assert tuple(whole) == (400, sum(range(400)))
+    groups = {(r["scope"], r["id"]): r for r in profile.entity_profiles(df, "at").collect()}
+    assert groups["cluster", "C1"]["related_id"] == "D1"  # R7 has no order
+    assert groups["cluster", "null"]["record_count"] == 1
+    assert groups["enumerator", "E1"]["numeric_means"]["age"] == 200.0
+    assert groups["district", "null"]["employment_rate"] is None
