@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.functions.values import clean_cell, is_numeric, parse_number
+from plumbline.functions.values import clean_cell, is_numeric, stripped_number
 from plumbline.operators.rules import Rule, checked, evaluate_rules
 from plumbline.plans.workers import ship
 from plumbline.sources.digests import digest, opened
@@ -29,30 +29,34 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 def clean_with_schema(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Text cells to the declared types; cells that do not parse become null."""
-    cells = [_parsed(f).alias(f.name) for f in schema.fields]
-    return raw.select(*cells, *[c for c in raw.columns if c not in schema.names])
+    rest = [c for c in raw.columns if c not in schema.names]
+    # One step after the other, as a step that names a cell twice would do the one before twice.
+    text = raw.select(*[clean_cell(F.col(f.name)).alias(f.name) for f in schema.fields], *rest)
+    return text.select(*[_parsed(f, F.col(f.name)).alias(f.name) for f in schema.fields], *rest)
 
 
-def _parsed(f: T.StructField) -> Column:
-    text = clean_cell(F.col(f.name))
+def _parsed(f: T.StructField, text: Column) -> Column:
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-        return parse_number(text)
+        return stripped_number(text)
     if not is_numeric(f.dataType):
         return text
-    number = parse_number(text)
+    number = stripped_number(text)
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def rejected_cells(raw: DataFrame, schema: T.StructType, keep: list[str]) -> DataFrame:
     """(*keep, column, raw_text) of every cell that holds something its type cannot: text in a
     number, a fraction or too much in a whole number."""
-    cells = [F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("raw_text"),
-                      (clean_cell(F.col(f.name)).isNotNull() & _parsed(f).isNull()).alias("bad"))
-             for f in schema.fields if is_numeric(f.dataType)]
-    if not cells:
+    numbers = [(i, f) for i, f in enumerate(schema.fields) if is_numeric(f.dataType)]
+    if not numbers:
         return raw.select(*keep, F.lit("").alias("column"), F.lit("").alias("raw_text")).where(F.lit(False))
-    bad = raw.select(*keep, F.explode(F.filter(F.array(*cells), lambda c: c["bad"])).alias("c"))
-    return bad.select(*keep, "c.column", "c.raw_text")
+    text = raw.select(*keep, *[c for i, f in numbers for c in (
+        F.col(f.name).alias(f"_raw{i}"), clean_cell(F.col(f.name)).alias(f"_text{i}"))])
+    cells = [F.when(F.col(f"_text{i}").isNotNull() & _parsed(f, F.col(f"_text{i}")).isNull(), F.struct(
+        F.lit(f.name).alias("column"), F.col(f"_raw{i}").alias("raw_text"))) for i, f in numbers]
+    bad = text.select(*keep, F.array_compact(F.array(*cells)).alias("_bad"))
+    return bad.where(F.size("_bad") > 0).select(*keep, F.explode("_bad").alias("c")).select(
+        *keep, "c.column", "c.raw_text")
 
 
 def text_schema(schema: T.StructType) -> T.StructType:
@@ -90,11 +94,17 @@ def watch_csv(
             return
         raw = (spark.read.schema(text_schema(schema)).option("header", True).csv(paths)
                .withColumn("source_file", F.input_file_name()))
-        records = clean_with_schema(raw, schema)
-        found = evaluate_rules(records, chosen, references, keep=["source_file"]).violations
-        for name, df in (("records", records), ("violations", found),
-                         ("rejects", rejected_cells(raw, schema, ["source_file"]))):
-            df.write.mode("overwrite").parquet(f"{out}/{name}/drop={number}")
+
+        def write(name: str, df: DataFrame) -> DataFrame:
+            path = f"{out}/{name}/drop={number}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        # Rules read what was written: each names its cells several times, and over the raw
+        # text every one of these would clean and parse its cell again.
+        records = write("records", clean_with_schema(raw, schema))
+        write("violations", evaluate_rules(records, chosen, references, keep=["source_file"]).violations)
+        write("rejects", rejected_cells(raw, schema, ["source_file"]))
 
     return (
         stream.writeStream.foreachBatch(save)

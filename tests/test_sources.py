@@ -66,3 +66,24 @@ def test_rejected_cells_are_those_that_do_not_parse(spark):
     assert got == {("R1", "income", "1,000.5"), ("R2", "age", "5.5"), ("R3", "income", "12x"), ("R5", "age", "99999999999999999999"),
                    ("R5", "income", "nan?")}
     assert not rejected_cells(raw, T.StructType.fromDDL("record_id string"), ["record_id"]).collect()
+
+
+def test_rules_of_a_drop_read_its_parsed_records(spark, tmp_path, monkeypatch):
+    from plumbline.streaming import drops
+    seen = []
+
+    def noted(records, *rest, **named):
+        seen.append(records)
+        return evaluate(records, *rest, **named)
+
+    evaluate = drops.evaluate_rules
+    monkeypatch.setattr(drops, "evaluate_rules", noted)
+    (tmp_path / "drop").mkdir()
+    (tmp_path / "drop" / "a.csv").write_text("record_id,age,income\nR1, 200 ,1.5\nR2,about 30,-1\n")
+    kind = T.StructType.fromDDL("record_id string, age bigint, income double")
+    watch_csv(spark, str(tmp_path / "drop"), kind, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert seen and all("/out/records/" in f for df in seen for f in df.inputFiles())
+    broken = spark.read.parquet(str(tmp_path / "out" / "violations")).select("record_id", "rule_code").collect()
+    assert {("R1", "AGE_MAX"), ("R2", "INCOME_NON_NEGATIVE")} <= {tuple(r) for r in broken}
+    bad = spark.read.parquet(str(tmp_path / "out" / "rejects")).select("column", "raw_text").collect()
+    assert [tuple(r) for r in bad] == [("age", "about 30")]
