@@ -85,3 +85,19 @@ def test_cells_are_text_and_missing_ones_null(spark, tmp_path):
     assert rows.columns == ["a", "b", "c"] and {t for _, t in rows.dtypes} == {"string"}
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(
         [("x", "1.5", None), (None, None, '{"d":[1]}'), (None, "true", None)], key=str)
+
+
+def test_many_small_splits_are_few_tasks(spark, tmp_path):
+    from plumbline.sources.json_list import _stretches
+    (tmp_path / "a.json").write_text(json.dumps(awkward(400, 2)))
+    stretches = _stretches(spark, str(tmp_path), 64)
+    assert stretches.select("split").distinct().count() > 100
+    assert len(stretches.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    assert found(spark, tmp_path, 64) == {"a.json": awkward(400, 2)}
+
+
+def test_text_is_shuffled_once_before_records_are_known(spark, tmp_path):
+    from plumbline.sources.json_list import _shaped, _stretches
+    (tmp_path / "a.json").write_text(json.dumps(awkward(50)))
+    plan = _shaped(_stretches(spark, str(tmp_path), 64))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # sums along the text are stored, not worked out again
