@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.fusion_queries import (
-    THREE, TWO, rules_found, statistics_found, stored_assessments,
+    THREE, TWO, stored_assessments, stored_rules, stored_statistics,
 )
 from plumbline.catalog.profile_queries import MEASURES, MISSING, WIDTH, rounded
 from plumbline.catalog.views import SV, query, stored, survey, table, with_
@@ -22,8 +22,8 @@ from plumbline.operators.profile import (
 def bundles(spark, sf_dir, max_bytes=16384):
     df = survey(spark, sf_dir)
     return context.evidence_bundles(
-        stored_assessments(spark, sf_dir), rules_found(spark, sf_dir),
-        statistics_found(spark, sf_dir), variables=variable_profiles(df),
+        stored_assessments(spark, sf_dir), stored_rules(spark, sf_dir),
+        stored_statistics(spark, sf_dir), variables=variable_profiles(df),
         entities=entity_profiles(df, distributions=False), max_bytes=max_bytes)
 
 

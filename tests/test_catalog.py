@@ -52,3 +52,29 @@ def test_survey_queries_ask_for_functions_the_jvm_compiles(spark, monkeypatch):
         assert int(views.QUERIES["probe"](spark, "")) <= 8000
     finally:
         spark.conf.set(limit, before)
+
+
+def test_assessments_and_bundles_share_one_evaluation(spark, tmp_path, monkeypatch):
+    from plumbline.catalog import fusion_queries, record_queries
+    calls = []
+
+    def counted(name):
+        run = getattr(fusion_queries, name)
+
+        def wrapped(*rest, **named):
+            calls.append(name)
+            return run(*rest, **named)
+        monkeypatch.setattr(fusion_queries, name, wrapped)
+
+    counted("evaluate_rules")
+    counted("record_evidence")
+    rows = [(i, "2024-01-0%d 10:00:00" % (1 + i % 9), i % 40, "view" if i % 3 else "purchase", float(i % 17), "{}")
+            for i in range(400)]
+    (spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+     .selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value", "props")
+     .write.parquet(str(tmp_path / "events.parquet")))
+    made = record_queries._bundles(spark, str(tmp_path))
+    found = {r.record_id: r.rule_evidence_n for r in made.collect()}
+    assert sorted(calls) == ["evaluate_rules", "record_evidence"]
+    broken = fusion_queries.rules_found(spark, str(tmp_path)).groupBy("record_id").count().collect()
+    assert broken and all(found[r["record_id"]] == r["count"] for r in broken) and len(found) == 400
